@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .line_dedup import op10_line_dedup
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op10_line_dedup)}
 
-ORACLE: dict[str, str] = {}
+#: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op10_line_dedup": rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+keyed AS (SELECT *, {_LOWER.format(r"trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM often)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (key NOT IN (FROM often)), '')) AS kept_sha256
+FROM keyed GROUP BY doc_id""",
+}

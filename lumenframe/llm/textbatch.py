@@ -127,3 +127,28 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the lines, split at newline bytes, and each text's bounds among them. An empty text is one empty line."""
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")
+    ends = np.sort(np.concatenate((breaks, offsets[1:])), kind="stable")
+    counts = np.diff(np.searchsorted(breaks, offsets)) + 1
+    return starts, ends, np.concatenate(([0], np.cumsum(counts)))
+
+
+def stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without space at both ends; an empty span at its start where nothing is left."""
+    solid = np.flatnonzero(NOT_SPACE[data])
+    if not len(solid):
+        return starts, starts
+    lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = hi > lo
+    first = np.where(some, solid[np.minimum(lo, len(solid) - 1)], starts)
+    return first, np.where(some, solid[hi - 1] + 1, first)
+
+
+def texts_of(pieces: list[bytes]) -> pa.Array:
+    """A string column of UTF-8 pieces."""
+    return pa.array(pieces, pa.binary()).cast(pa.string())
