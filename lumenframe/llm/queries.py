@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .line_dedup import op10_line_dedup
+from .quality_rules import op8_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op8_quality_rules, op10_line_dedup)}
 
 #: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -20,4 +21,35 @@ often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM often)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (key NOT IN (FROM often)), '')) AS kept_sha256
 FROM keyed GROUP BY doc_id""",
+    "op8_quality_rules": rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+split AS (SELECT row, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
+keyed AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key,
+  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM split),
+often AS (
+  SELECT host, key FROM (SELECT host, key, count(DISTINCT row) AS n_docs FROM keyed WHERE n > 0 GROUP BY ALL)
+  JOIN (SELECT host, count(*) AS host_docs FROM docs GROUP BY ALL) USING (host)
+  WHERE n_docs > 20 AND n_docs > host_docs * 0.01),
+gone AS (SELECT row, sum(n) AS n_gone FROM keyed WHERE n > 0 AND (host, key) IN (SELECT (host, key) FROM often) GROUP BY row),
+dups AS (
+  SELECT row, count(*) FILTER (n > 0 AND nth > 1) AS n_dup_lines
+  FROM (SELECT row, n, row_number() OVER (PARTITION BY row, line ORDER BY i) AS nth FROM keyed) GROUP BY row),
+base AS (
+  SELECT row, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM docs),
+tokens AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM base),
+grams AS (
+  SELECT row, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS gram
+  FROM tokens WINDOW o AS (PARTITION BY row ORDER BY i)),
+twice AS (SELECT row, i, count(*) OVER (PARTITION BY row, gram) > 1 AND gram IS NOT NULL AS hit FROM grams),
+covered AS (
+  SELECT row, count(*) FILTER (hit) AS n_repeat_words
+  FROM (SELECT row, bool_or(hit) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM twice) GROUP BY row),
+counts AS (
+  SELECT row, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols,
+    n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_gone
+  FROM base JOIN dups USING (row) LEFT JOIN covered USING (row) LEFT JOIN gone USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_gone >= n_words * 0.3 AS kept
+FROM counts""",
 }
