@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .line_dedup import op10_line_dedup
+from .packing import op7_best_fit_packing
 from .quality_rules import op8_quality_rules
 from .secrets import op9_secret_scan
 from .token_store import op5_token_store
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_token_store, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_token_store, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
 
 #: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
