@@ -8,13 +8,22 @@ from .packing import op7_best_fit_packing
 from .quality_rules import op8_quality_rules
 from .secrets import op9_secret_scan
 from .token_store import op5_token_store
+from .warc import op4_warc_convert
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_token_store, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_warc_convert, op5_token_store, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
 
 #: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op4_warc_convert": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""",
     "op10_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
