@@ -9,10 +9,11 @@ from .packing import op7_best_fit_packing
 from .quality_cnn import op6_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secrets import op9_secret_scan
+from .substring_dedup import op3_substring_dedup
 from .token_store import op5_token_store
 from .warc import op4_warc_convert
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op3_substring_dedup, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
 
 #: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
