@@ -369,24 +369,35 @@ class _Join:
         return links, found
 
 
-def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, copy (hash of the text), n_shingles, component_id for every row of docs."""
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, copy, n_shingles, group (null for empty sets) and first, the group's first row as (none, doc_id, copy)."""
     join = _Join(docs, n, percent)
     _, found = join.run()
-    rows = join.profile.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    smallest = rows.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(smallest, "group", "left")
-    alone = F.col("n_shingles") == 0
-    return joined.select("doc_id", "copy", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = join.profile.join(found, "node", "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    firsts = rows.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("first"))
+    return rows.join(firsts, "group", "left").select("doc_id", "copy", "n_shingles", "group", "first")
+
+
+def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    rows = _grouped(docs, n, percent)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """docs with one document of each group: that with the smallest id, and of its rows one."""
-    rows = docs.withColumn("_copy", F.xxhash64("text"))
-    groups = jaccard_groups(docs, n, percent)
-    gone = groups.where("component_id <> doc_id").select("doc_id", F.col("copy").alias("_copy")).distinct()
-    return rows.join(small_or_shuffled(written(gone, "copies"), BROADCAST_ROWS), ["doc_id", "_copy"], "left_anti").select(*docs.columns)
+    """docs with one row of each group, that with the smallest id; rows with empty sets all stay."""
+    groups = written(_grouped(docs, n, percent), "first-rows").where(F.col("group").isNotNull())
+    rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
+    key = F.struct("doc_id", "copy").alias("_row")
+    gone = groups.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy")))).select(key).distinct()
+    left = rows.join(small_or_shuffled(gone, BROADCAST_ROWS), "_row", "left_anti")
+    repeated = groups.groupBy("doc_id", "copy").agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if repeated.limit(1).count():
+        repeated = small_or_shuffled(repeated, BROADCAST_ROWS)
+        left = left.join(repeated, "_row", "left_anti").unionByName(left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(*docs.columns)
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copy")
+    return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

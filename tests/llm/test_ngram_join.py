@@ -73,8 +73,11 @@ def test_near_the_limit(spark, seed, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert j.jaccard_groups(df).count() == 0
-    df = spark.createDataFrame([(1, "a b c d e"), (2, "A b c D e"), (3, None)], "doc_id long, text string")
-    assert sorted(r.doc_id for r in j.keep_first(df).collect()) == [1, 3]
+    rows = [(1, "a b c d e"), (2, "A b c D e"), (3, None), (3, None), (1, "a b c d e"), (1, "a  b c d e"), (None, "a b c d e"), (4, "other text of five")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, copy int")
+    kept = j.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 3, 4]
 
 
 def test_pigeonhole():
