@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP = "t1_knn_topk"
+from lumenframe.plans import pixels, relational, retrieval  # noqa: F401
+from lumenframe.plans.registry import ORACLE, QUERIES
+
+FLAGSHIP = "sel2_top_per_scene_best_fit"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
