@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """Rows of new whose key old holds change the update columns only; others are added. Rows of a null key are always added."""
     mark = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
-    joined = old.alias("o").join(new.alias("n"), mark, "full_outer")
-    known = F.col(f"o.{keys[0]}").isNotNull() | F.col(f"n.{keys[0]}").isNull()
-    matched = F.col(f"o.{keys[0]}").isNotNull() & F.col(f"n.{keys[0]}").isNotNull()
-    cols = [F.when(matched if c in update else F.lit(False), F.col(f"n.{c}")).when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in old.columns]
-    return joined.select(*cols)
+    joined = old.withColumn("_here", F.lit(True)).alias("o").join(new.withColumn("_here", F.lit(True)).alias("n"), mark, "full_outer")
+    had, came = F.col("o._here").isNotNull(), F.col("n._here").isNotNull()
+    return joined.select(*[F.when(~had | (came if c in update else F.lit(False)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns])
 
 
 def improved(old: DataFrame, new: DataFrame, key: str, error: str) -> DataFrame:

@@ -32,10 +32,12 @@ lab{n} AS (SELECT *, 116 * fy{n} - 16 AS la{n}, 500 * (fx{n} - fy{n}) AS aa{n},
 _ROUND = "round({}, 6)"
 
 
-C = colour.channels("r", "g", "b")
+def _channels():
+    return colour.channels("r", "g", "b")
 
 
-def _rgb(df, c=C):
+def _rgb(df, c=None):
+    c = c or _channels()
     return df.select("image", "place", *[F.round(x, 6).alias(n) for x, n in zip(c, "rgb", strict=True)])
 
 
@@ -45,17 +47,17 @@ def _base(spark, sf_dir):
 
 @query(f"WITH {PIXELS_SQL} SELECT image, place, " + ", ".join(f"round({_dec(c)}, 6) AS {c}" for c in "rgb") + " FROM pixels")
 def p1_srgb_decode(spark, sf_dir):
-    return _rgb(_base(spark, sf_dir), tuple(map(colour.decode, C)))
+    return _rgb(_base(spark, sf_dir), tuple(map(colour.decode, _channels())))
 
 
 @query(f"WITH {PIXELS_SQL} SELECT image, place, " + ", ".join(f"round({_enc(c)}, 6) AS {c}" for c in "rgb") + " FROM pixels")
 def p1_srgb_encode(spark, sf_dir):
-    return _rgb(_base(spark, sf_dir), tuple(map(colour.encode, C)))
+    return _rgb(_base(spark, sf_dir), tuple(map(colour.encode, _channels())))
 
 
 @query(f"WITH {PIXELS_SQL} SELECT image, place, round({_luma('r', 'g', 'b')}, 6) AS luma FROM pixels")
 def p2_luma(spark, sf_dir):
-    return _base(spark, sf_dir).select("image", "place", F.round(colour.luma(C), 6).alias("luma"))
+    return _base(spark, sf_dir).select("image", "place", F.round(colour.luma(_channels()), 6).alias("luma"))
 
 
 _WB = [f"pow(2.0, {e})" for e in ("1.5 * 0.4", "-1.5 * -0.2", "-1.5 * 0.4")]
@@ -63,12 +65,12 @@ _WB = [f"pow(2.0, {e})" for e in ("1.5 * 0.4", "-1.5 * -0.2", "-1.5 * 0.4")]
 
 @query(f"WITH {PIXELS_SQL}, k AS (SELECT {_luma(*_WB)} AS w) SELECT image, place, " + ", ".join(f"round({c} * {m} / w, 6) AS {c}" for c, m in zip("rgb", _WB, strict=True)) + " FROM pixels, k")
 def p3_white_balance(spark, sf_dir):
-    return _rgb(_base(spark, sf_dir), colour.white_balance(C, 40, -20))
+    return _rgb(_base(spark, sf_dir), colour.white_balance(_channels(), 40, -20))
 
 
 @query(f"WITH {PIXELS_SQL} SELECT image, place, " + ", ".join(f"round({c} * pow(2.0, 1.3), 6) AS {c}" for c in "rgb") + " FROM pixels")
 def p4_exposure(spark, sf_dir):
-    return _rgb(_base(spark, sf_dir), colour.exposure(C, 1.3))
+    return _rgb(_base(spark, sf_dir), colour.exposure(_channels(), 1.3))
 
 
 def _step(x, lo, hi):
@@ -81,7 +83,7 @@ def _step(x, lo, hi):
     f"round({_step('y', '0.4', '0.75')} * (1 - {_step('y', '0.75', '1.0')}), 6) AS highlights, round({_step('y', '0.75', '1.0')}, 6) AS whites FROM y"
 )
 def p5_region_masks(spark, sf_dir):
-    d = _base(spark, sf_dir).withColumn("y", colour.luma(C))
+    d = _base(spark, sf_dir).withColumn("y", colour.luma(_channels()))
     return d.select("image", "place", *[F.round(m, 6).alias(n) for n, m in colour.region_masks(F.col("y")).items()])
 
 
@@ -98,15 +100,15 @@ def p6_region_table(spark, sf_dir):
 
 @query(f"WITH {PIXELS_SQL} SELECT image, place, " + ", ".join(f"round({c} + 0.6 * ({c} * {c} * (3 - 2 * {c}) - {c}), 6) AS {c}" for c in "rgb") + " FROM pixels")
 def p8_contrast(spark, sf_dir):
-    return _rgb(_base(spark, sf_dir), colour.contrast(C, 60))
+    return _rgb(_base(spark, sf_dir), colour.contrast(_channels(), 60))
 
 
 @query(
     f"WITH {PIXELS_SQL}, y AS (SELECT *, {_luma('r', 'g', 'b')} AS y, greatest(-1.0::DOUBLE, 0.3 + -0.5 * (1 - (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b, 1e-6))) AS k FROM pixels) SELECT image, place, " + ", ".join(f"round(y + ({c} - y) * (1 + k), 6) AS {c}" for c in "rgb") + " FROM y"
 )
 def p10_saturation(spark, sf_dir):
-    d = _base(spark, sf_dir).withColumn("y", colour.luma(C)).withColumn("k", colour.saturation_gain(C, 30, -50))
-    return _rgb(d, colour.scaled_about(C, F.col("y"), F.col("k")))
+    d = _base(spark, sf_dir).withColumn("y", colour.luma(_channels())).withColumn("k", colour.saturation_gain(_channels(), 30, -50))
+    return _rgb(d, colour.scaled_about(_channels(), F.col("y"), F.col("k")))
 
 
 RECIPE = {
