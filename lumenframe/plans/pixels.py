@@ -199,11 +199,11 @@ def a39_out_of_gamut(spark, sf_dir):
 
 
 @query(f"""WITH {PIXELS_SQL}, xy AS (SELECT image, place % 50 AS x, r, g, b FROM pixels)
-SELECT image, CAST(((x + 1) * 7 - 1) // 50 AS BIGINT) AS cell, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM xy GROUP BY ALL""")
+SELECT image, CAST(((x + 1) * 7 - 1) // 50 AS BIGINT) AS cell, round(avg(r), 9) AS r, round(avg(g), 9) AS g, round(avg(b), 9) AS b FROM xy GROUP BY ALL""")
 def p15_area_resample(spark, sf_dir):
     """Rows of 50 source pixels to 7 cells; every pixel counts in one cell, so partial means combine before the shuffle."""
     cell = colour.area_bin(F.col("place") % 50, 50, 7).alias("cell")
-    return pixels(spark, sf_dir).groupBy("image", cell).agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+    return pixels(spark, sf_dir).groupBy("image", cell).agg(*[F.round(F.avg(c), 9).alias(c) for c in "rgb"])
 
 
 @query(f"WITH {PIXELS_SQL} SELECT image, place, " + ", ".join(f"CAST(floor({c} * 255 + 0.5) AS INTEGER) AS {c}" for c in "rgb") + " FROM pixels")

@@ -19,14 +19,14 @@ def _first_vector(spark, sf_dir) -> list[float]:
 
 
 @query(f"""WITH {PHOTOS_SQL}, q AS (SELECT vector AS v FROM photos WHERE photo = 0)
-SELECT photo, round(1 - list_inner_product(vector, v) / (sqrt(list_inner_product(vector, vector)) * sqrt(list_inner_product(v, v))), 6) AS distance
+SELECT photo, round(1 - list_inner_product(vector, v) / (sqrt(list_inner_product(vector, vector)) * sqrt(list_inner_product(v, v))), 6) + 0 AS distance
 FROM photos, q WHERE photo <> 0 ORDER BY 1 - list_inner_product(vector, v) / (sqrt(list_inner_product(vector, vector)) * sqrt(list_inner_product(v, v))), photo LIMIT 20""")
 def t1_knn_topk(spark, sf_dir):
     return knn.nearest(photos(spark, sf_dir), _first_vector(spark, sf_dir), K, [0]).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {PHOTOS_SQL}, q AS (SELECT vector AS v FROM photos WHERE photo = 0), c AS (SELECT CASE WHEN photo % 7 = 0 THEN NULL ELSE photo END AS reference, photo, vector FROM photos)
-SELECT photo, round(1 - list_inner_product(vector, v) / (sqrt(list_inner_product(vector, vector)) * sqrt(list_inner_product(v, v))), 6) AS distance
+SELECT photo, round(1 - list_inner_product(vector, v) / (sqrt(list_inner_product(vector, vector)) * sqrt(list_inner_product(v, v))), 6) + 0 AS distance
 FROM c, q WHERE NOT (coalesce(reference, -1) IN (1, 2, 3, 4, 5)) ORDER BY 1 - list_inner_product(vector, v) / (sqrt(list_inner_product(vector, vector)) * sqrt(list_inner_product(v, v))), photo LIMIT 20""")
 def f1_null_safe_exclusion(spark, sf_dir):
     """A photo without a reference stays a candidate however long the list of exclusions is."""
