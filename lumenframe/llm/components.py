@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import written
 
+#: Edges that one task joins before the rounds begin.
+LOCAL_EDGES = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars around the smallest node of each of their components, so rounds start from short paths."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in up if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+        if len(up) > 2 * LOCAL_EDGES:
+            yield stars()
+            up.clear()
+    yield stars()
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component for edges (a long, b long): the smallest node that links reach.
@@ -14,8 +44,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label of that label, so
     long chains shrink by half; every round is a table in the shared folder.
     """
-    both = edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct()
-    both = written(both, "edges")
+    edges = edges.select("a", "b").where("a <> b")
+    stars = edges.coalesce(-(-edges.count() // LOCAL_EDGES) or 1).mapInArrow(_contract, "a long, b long")
+    both = written(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

@@ -10,14 +10,14 @@ signature (of its content), one of weight two also those of its content less eac
 How many segments get weight two is chosen for each level by cost: signatures against
 accidental agreement, which follows the number of documents at the level.
 
-Weights add up to H + 1 + slack. Signatures that more than HEAVY classes share are left out by
-sets with at most slack of them: the remaining weights still exceed H. Sets with more of them
-(copies of one text in large numbers) keep them.
-
-Sets that share a signature are first compared with the two outermost of their group, exactly,
-and linked sets joined into components. Only groups that still span several components are
-looked at again: all pairs across components whose bit sketches don't prove a larger difference
-than H are compared exactly. So groups of copies cost as much as they have members, and no link
+Weights add up to H + 1 + slack. Empty segments, and signatures that more than HEAVY classes
+share, are left out by sets that have few enough of them for the slack: the remaining weights
+still exceed H. Sets with more of them (copies of one text in large numbers) keep them.
+
+Sets that share a signature are first compared with one of their group, and linked sets joined
+into components. Only groups that still span several components are looked at again: all pairs
+across components. Pairs whose bit sketches prove a larger difference than H are dropped, all
+others compared exactly. So groups of copies cost as much as they have members, and no link
 between different components is lost.
 
 Defined results: a null text, an empty one or one of white space has the empty set and is
@@ -32,18 +32,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import prepared, small_or_shuffled, written
 from .components import components
 from .textbatch import LOWER, NOT_SPACE, Grams, mix, owner, slices, span_hashes, words
 
-RATIO = 1.5
+RATIO = 1.25
+#: Of an accidental agreement, in signatures.
+CHANCE_COST = 0.2
 HEAVY = 32
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
+FEW = 4
 BROADCAST_ROWS = 1_000_000
 BUNDLE = 256
 BLOCK = 4096
@@ -63,6 +65,15 @@ class Level:
     def weight(self) -> int:
         return 2 if self.two else 1
 
+    @property
+    def empties(self) -> int:
+        """Of the slack, for empty segments; the rest is for heavy signatures."""
+        return self.slack - self.slack // 3
+
+    @property
+    def heavies(self) -> int:
+        return self.slack // 3
+
 
 def bands(most: int) -> list[int]:
     """Upper sizes of the bands."""
@@ -88,15 +99,19 @@ def plan(sizes: dict[int, int], percent: int) -> tuple[np.ndarray, list[Level |
         if most < 1 or n < 2:
             levels.append(None)
             continue
-        slack = 0 if most < 3 else max(1, (most + 1) // 10)
-        need, best = most + 1 + slack, None
-        for two in range(need // 2 + 1):
-            one = need - 2 * two
-            z = upper / (two + one)
-            chance = 0.0 if slack else one * math.exp(-2 * z) + two * ((1 + z) * math.exp(-z)) ** 2
-            cost = one + two * (1 + z) + n * chance
-            if best is None or cost < best[0]:
-                best = (cost, Level(upper, two, one, slack))
+        best = None
+        for slack in sorted({0, 1, *(math.ceil(most * x) for x in (0.1, 0.2, 0.35))}):
+            need = most + 1 + slack
+            for two in sorted({need // 2 * i // 8 for i in range(9)}):
+                level = Level(upper, two, need - 2 * two, slack)
+                m = level.two + level.one
+                # of the smallest sets at the level, which have the most empty segments
+                z = least / m
+                empty = m * math.exp(-z)
+                chance = 0.0 if level.weight * (empty + 2 * empty**0.5) <= level.empties else level.one * math.exp(-2 * z) + two * ((1 + z) * math.exp(-z)) ** 2
+                cost = m + two * upper / m + CHANCE_COST * n * chance
+                if best is None or cost < best[0]:
+                    best = (cost, level)
         levels.append(best[1])
     return np.array(uppers), levels
 
@@ -131,12 +146,26 @@ def names(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix(_summed(mix(sets ^ _SALT1), bounds)).view(np.int64), mix(_summed(mix(sets ^ _SALT2), bounds)).view(np.int64)
 
 
-def sketches(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Parities of the elements in each of SKETCH_BITS cells: two sketches differ in no more bits than the sets in elements."""
-    n = len(bounds) - 1
-    cells = (mix(sets + _SALT2) >> np.uint64(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
-    odd = np.bincount(owner(bounds) * SKETCH_BITS + cells, minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+def sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set the parities of its elements in cells, about as many as elements: two sketches differ in no more bits than the sets in elements."""
+    hashes = mix(sets + _SALT2)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        cells = max(SKETCH_BITS, 1 << (b - a).bit_length())
+        odd = np.bincount((hashes[a:b] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch with its cells joined to so many bytes, as 64-bit integers."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), 0)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, uppers: np.ndarray, levels: list[Level | None], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -163,7 +192,11 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, uppers: np.ndarray, levels:
         np.add.at(total, cell, value)
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64(1 + (k << 32)))
         low = np.uint64(63)
-        yield (mix(total + np.tile(tag, len(docs))) & ~low) | np.uint64(k), np.repeat(docs, m)
+        # a set leaves its empty segments out as long as the slack for that bears it
+        full = np.bincount(cell, minlength=len(docs) * m) > 0
+        spare = (m - full.reshape(-1, m).sum(1)) * level.weight <= level.empties
+        live = np.flatnonzero(full | ~np.repeat(spare, m))
+        yield (mix(total + np.tile(tag, len(docs))) & ~low)[live] | np.uint64(k), np.repeat(docs, m)[live]
         if level.two:
             some = np.flatnonzero(segment < level.two)
             yield (mix(total[cell[some]] - value[some] + tag[segment[some]]) & ~low) | np.uint64(k), text[at[some]]
@@ -176,8 +209,7 @@ def _profile(n: int):
                 sets, bounds = shingle_sets(data, offsets, n)
                 one, two = names(sets, bounds)
                 part = batch.slice(row, end - row)
-                sketch = [x.tobytes() for x in sketches(sets, bounds)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("copy"), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two), pa.array(sketch, pa.binary())], ["doc_id", "copy", "n_shingles", "node", "check", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("copy"), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two), pa.array(sketches(sets, bounds), pa.binary())], ["doc_id", "copy", "n_shingles", "node", "check", "sketch"])
 
     return run
 
@@ -250,11 +282,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in slices(batch):
+            for _, _, data, offsets in slices(batch):
                 sets, bounds = shingle_sets(data, offsets, n)
-                node, check = names(sets, bounds)
+                node, _ = names(sets, bounds)
                 blobs = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(check), pa.array(blobs, pa.binary())], ["node", "check", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -268,7 +300,7 @@ def _compare(percent: int):
         centre = next((np.frombuffer(x, np.uint64) for i, x in zip(a, blobs, strict=True) if i is None), np.zeros(0, np.uint64))
         linked = []
         for i, blob in zip(a, blobs, strict=True):
-            if i is not None and len(centre):
+            if i is not None:
                 mine = np.frombuffer(blob, np.uint64)
                 at = np.searchsorted(centre, mine)
                 both = int((centre[np.minimum(at, len(centre) - 1)] == mine).sum())
@@ -279,25 +311,92 @@ def _compare(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of a block of one group that lie in different components and whose sketches allow a link."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        bits = np.array([np.frombuffer(x, np.uint64) for x in right["sketch"]])
-        size, node, comp = (right[c].to_numpy() for c in ("n_shingles", "node", "component"))
-        found = []
-        for n, x, c, sketch in zip(left["n_shingles"].to_numpy(), left["node"].to_numpy(), left["component"].to_numpy(), left["sketch"], strict=True):
-            ok = (comp != c) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
-            if i == j:
-                ok &= node > x
-            at = np.flatnonzero(ok)
-            if len(at):
-                apart = np.bitwise_count(bits[at] ^ np.frombuffer(sketch, np.uint64)).sum(1)
-                at = at[apart <= (size[at] + n) * (100 - percent) // (100 + percent)]
-                found += [(min(x, y), max(x, y)) for y in node[at].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _pairs_within(group: np.ndarray, component: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Rows (a, b) of nodes of one group and different components that sizes and sketches allow to link. Rows are sorted by group; all groups advance together."""
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, len(group)):
+        at = np.flatnonzero(group[step:] == group[:-step])
+        if not len(at):
+            break
+        to = at + step
+        ok = (component[at] != component[to]) & (100 * np.minimum(size[at], size[to]) >= percent * np.maximum(size[at], size[to]))
+        at, to = at[ok], to[ok]
+        ok = np.bitwise_count(bits[at] ^ bits[to]).sum(1) <= (size[at] + size[to]) * (100 - percent) // (100 + percent)
+        at, to = at[ok], to[ok]
+        found.append(np.stack((np.maximum(node[at], node[to]), np.minimum(node[at], node[to])), 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _pairs_between(left: np.ndarray, right: np.ndarray, component: np.ndarray, node: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int, few: int) -> np.ndarray:
+    """The same for two blocks of rows of one group. few: of each row that many at most, the nearest and then any."""
+    found = [np.zeros((0, 2), np.int64)]
+    for i in left.tolist():
+        at = right[(component[right] != component[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))]
+        away = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
+        ok = away <= (size[at] + size[i]) * (100 - percent) // (100 + percent)
+        at, away = at[ok], away[ok]
+        if few and len(at) > few:
+            spread = mix(node[at].view(np.uint64) ^ node[i : i + 1].view(np.uint64))
+            at = np.union1d(at[np.argpartition(away, few // 2)[: few // 2]], at[np.argpartition(spread, few // 2)[: few // 2]])
+        found.append(np.stack((np.maximum(node[at], node[i]), np.minimum(node[at], node[i])), 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _across(percent: int, few: int):
+    """Pairs across components, from rows sorted by sig, i, j; only one group is held beyond its batch. few: as in _pairs_between, and small groups wait."""
+
+    def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
+        sig, i, j, block, node, component, size, bits = cols
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        group = np.cumsum(new)
+        counts = np.bincount(group)[group]
+        small = np.flatnonzero(counts <= 2 * HEAVY)
+        found = [_pairs_within(*(x[small] for x in (group, component, node, size, bits)), percent)] if not few else [np.zeros((0, 2), np.int64)]
+        for g in np.unique(group[counts > 2 * HEAVY]):
+            at = np.flatnonzero(group == g)
+            left, right = at[block[at] == i[at[0]]], at[block[at] == j[at[0]]]
+            found.append(_pairs_between(left, right, component, node, size, bits, percent, few))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "i", "j", "block", "node", "component", "n_shingles")]
+            cols.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64))
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+            cut = int(np.argmax(last))
+            held = [x[cut:] for x in cols]
+            if cut:
+                yield pairs([x[:cut] for x in cols])
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches brought to the same small size."""
+    for batch in batches:
+        small = [folded(x.as_py(), SKETCH_BITS // 8).tobytes() for x in batch.column("sketch")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n_shingles"), pa.array(small, pa.binary())], ["node", "n_shingles", "sketch"])
+
+
+def _may_link(percent: int):
+    """Of pairs with both sizes and sketches, those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, k = batch.column("n").to_numpy(), batch.column("k").to_numpy()
+            fits = 100 * np.minimum(n, k) >= percent * np.maximum(n, k)
+            most = (n + k) * (100 - percent) // (100 + percent)
+            x, y = batch.column("x"), batch.column("y")
+            at = [i for i in np.flatnonzero(fits).tolist() if apart(x[i].as_py(), y[i].as_py()) <= most[i]]
+            yield batch.select(["a", "b"]).take(pa.array(at, pa.int64()))
 
     return run
 
@@ -319,7 +418,7 @@ class _Join:
         signed = self.docs.select("text").mapInArrow(_sign(self.n, uppers, levels, self.percent), "sig long, node long")
         rows = written(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, size int"), "shared")
         level = F.col("sig").bitwiseAND(63)
-        slack = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.slack if v else 0)]), level.cast("int"))
+        slack = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.heavies if v else 0)]), level.cast("int"))
         weight = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.weight if v else 1)]), level.cast("int"))
         heavy = rows.where("size = 3")
         needed = heavy.groupBy("node", level.alias("level")).agg(F.count("*").alias("n")).withColumn("sig", F.col("level")).where(F.col("n") * weight > slack).select("node", "level")
@@ -329,43 +428,57 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose sets link, by their sets."""
         pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        # a node with many partners goes in bundles, its own set with each
+        counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        dealt = written(pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / BUNDLE)).alias("bundle")), "bundles")
+        none = F.lit(None).cast("long").alias("a")
+        roles = dealt.select(F.col("a").alias("node"), "a", "b", "bundle").unionByName(dealt.select(F.col("b").alias("node"), none, "b", "bundle").distinct())
+        wanted = roles.select("node").distinct()
         first = self.profile.join(wanted, "node").groupBy("node", "check").agg(F.min(F.struct("doc_id", "copy")).alias("r"))
         some = small_or_shuffled(written(first.select(F.col("r.doc_id").alias("doc_id"), F.col("r.copy").alias("copy")), "wanted"), BROADCAST_ROWS)
         held = self.docs.join(some, self.docs["doc_id"].eqNullSafe(some["doc_id"]) & (self.docs["copy"] == some["copy"]), "left_semi")
-        sets = written(held.select("text").mapInArrow(_sets(self.n), "node long, check long, shingles binary").dropDuplicates(["node", "check"]), "sets")
-        # a node with many partners goes in bundles, its own set with each
-        bundle = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("n") / BUNDLE)))
-        counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
-        dealt = pairs.join(counts, "b").select("a", "b", bundle.alias("bundle"))
-        dealt = written(dealt, "bundles")
-        theirs = dealt.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", "b", "bundle", "shingles")
-        own = dealt.select("b", "bundle").distinct().join(sets.select(F.col("node").alias("b"), "shingles"), "b").select(F.lit(None).cast("long").alias("a"), "b", "bundle", "shingles")
-        return written(theirs.unionByName(own).groupBy("b", "bundle").applyInArrow(_compare(self.percent), "a long, b long"), "links")
+        sets = held.select("text").mapInArrow(_sets(self.n), "node long, shingles binary")
+        placed = sets.join(small_or_shuffled(written(roles, "roles"), BROADCAST_ROWS), "node").select("a", "b", "bundle", "shingles")
+        return written(placed.groupBy("b", "bundle").applyInArrow(_compare(self.percent), "a long, b long").distinct(), "links")
+
+    def _allowed(self, pairs: DataFrame, sized: DataFrame) -> DataFrame:
+        """The pairs that sizes and whole sketches allow to link."""
+        x = sized.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
+        y = sized.select(F.col("node").alias("b"), F.col("n_shingles").alias("k"), F.col("sketch").alias("y"))
+        return pairs.join(x, "a").join(y, "b").mapInArrow(_may_link(self.percent), "a long, b long")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Links between classes that join all components, and the component of each linked class."""
         groups = self.shared()
-        ends = groups.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        stars = groups.join(ends, "sig").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-        ordered = stars.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
         sized = self.profile.groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
         sized = written(sized.join(groups.select("node").distinct(), "node"), "sized")
-        size = sized.select("node", "n_shingles")
-        fits = ordered.join(size.select(F.col("node").alias("a"), F.col("n_shingles").alias("n")), "a").join(size.select(F.col("node").alias("b"), F.col("n_shingles").alias("k")), "b")
-        links = self.verified(fits.where(F.lit(100) * F.least("n", "k") >= F.lit(self.percent) * F.greatest("n", "k")).select("a", "b"))
+        stars = groups.join(groups.groupBy("sig").agg(F.min("node").alias("end")), "sig").where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b")).distinct()
+        stars = written(stars, "stars")
+        links = self.verified(self._allowed(stars, sized))
         found = components(links)
-        members = groups.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        several = members.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("sig", "n")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        spread = members.join(several, "sig").withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        spread = spread.select("sig", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sized, "node")
-        more = spread.groupBy("sig", "i", "j").applyInPandas(_across(self.percent), "a long, b long").distinct().select(F.col("b").alias("a"), F.col("a").alias("b"))
-        rest = self.verified(more.join(ordered, ["a", "b"], "left_anti"))
-        if rest.limit(1).count():
-            links = links.unionByName(rest)
-            found = components(links)
+        small = written(sized.mapInArrow(_fold, "node long, n_shingles long, sketch binary"), "sketches")
+        # in large groups a few partners of each set join most components; only what is left is paired in full
+        for few in (FEW, 0):
+            members = groups.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+            several = members.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("sig", "n")
+            rows = members.join(several.where(F.col("n") > 2 * HEAVY) if few else several, "sig")
+            if few:
+                rows = written(rows, "large")
+                if not rows.limit(1).count():
+                    continue
+                place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("sig"), "sig"))
+                rows = rows.withColumn("place", place).where(F.col("place") <= few).drop("place")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            spread = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            spread = spread.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(small, "node")
+            dealt = spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+            more = dealt.mapInArrow(_across(self.percent, few), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+            more = written(more, "across")
+            rest = self.verified(self._allowed(more, sized))
+            stars = stars.unionByName(more)
+            if rest.limit(1).count():
+                links = links.unionByName(rest)
+                found = components(links)
         return links, found
 
 
