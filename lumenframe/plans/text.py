@@ -71,9 +71,9 @@ def st10_project_name(spark, d):
     return table(spark, d, "pages").select("page_id", text.project_name(F.split_part("url", F.lit("?"), F.lit(1)), F.to_date(F.lit("2026-01-02"))).alias("name"))
 
 
-@query("SELECT doc_id, 'fivek/' || source || '/after512-' || lang || '.png' AS key, 'fit:' || lang AS step FROM documents")
+@query("SELECT doc_id, 'corpus/' || source || '/after512-' || lang || '.png' AS key, 'fit:' || lang AS step FROM documents")
 def st8_key_templates(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.format_string("fivek/%s/after512-%s.png", "source", "lang").alias("key"), F.concat(F.lit("fit:"), F.col("lang")).alias("step"))
+    return table(spark, d, "documents").select("doc_id", F.format_string("corpus/%s/after512-%s.png", "source", "lang").alias("key"), F.concat(F.lit("fit:"), F.col("lang")).alias("step"))
 
 
 @query("SELECT p_partkey AS k, round(CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1e6 / (p_size * 100) - 1e6 / 5000 END, 6) AS shift FROM part")
