@@ -30,20 +30,22 @@ from pyspark.sql import functions as F
 from .cluster import prepared, written
 from .textbatch import slices
 from .token_store import with_end
-from .tokens import TOKEN_SLICE, tokenizer
+from .tokens import tokenizer
 
 CAPACITY = 4096
 SHARD_PIECES = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
 #: Of each shard, pieces of its least filled bins that are packed again with those of so many other shards.
 LEFT_PIECES, MERGED = 64, 64
+#: Chunks whose ids a worker keeps: fewer than the default, as workers still hold what earlier stages of a pipeline took.
+CACHE_CHUNKS = 250_000
 
 
 def _cut(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = tokenizer(path)
+        machine = tokenizer(path, CACHE_CHUNKS)
         for batch in batches:
-            for row, stop, data, offsets in slices(batch, limit=TOKEN_SLICE):
+            for row, stop, data, offsets in slices(batch):
                 ids, bounds = with_end(*machine.encode(data, offsets), end)
                 raw = ids.astype("<u4").tobytes()
                 size = np.diff(bounds)

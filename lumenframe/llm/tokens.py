@@ -51,13 +51,14 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(4)
-def tokenizer(path: str) -> "ChunkedTokenizer":
-    """The process's tokenizer with what it has learnt so far."""
-    return ChunkedTokenizer(path)
+def tokenizer(path: str, cache_chunks: int = CACHE_CHUNKS) -> "ChunkedTokenizer":
+    """The process's tokenizer with what it has learnt so far, of about cache_chunks chunks."""
+    return ChunkedTokenizer(path, cache_chunks)
 
 
 class ChunkedTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+        self.cache_chunks = cache_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -95,9 +96,11 @@ class ChunkedTokenizer:
             ids, length = self._in_bulk(bulk[i : i + 4096])
             parts.append(ids)
             lengths.append(length)
-        each = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
-        lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
-        parts.append(np.fromiter(chain.from_iterable(each), np.uint32, int(lengths[-1].sum())))
+        # the library's encodings take far more room than their ids, so only so many live at once
+        for i in range(0, len(rest), 4096):
+            each = [e.ids for e in self.library.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
+            parts.append(np.fromiter(chain.from_iterable(each), np.uint32, int(lengths[-1].sum())))
         length, new = np.concatenate(lengths), bulk + rest
         self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
@@ -108,7 +111,7 @@ class ChunkedTokenizer:
         """All ids as uint32, and each text's bounds among them."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.slot) > CACHE_CHUNKS:
+        if len(self.slot) > self.cache_chunks:
             self._forget()
         cuts = chunks(data, offsets)
         column = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
