@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Credential words, and what may stand between them and the value.
 CONTEXT_WORDS = ("passphrase", "passcode", "password", "passwd", "pwd", "secret", "token", "api key", "api-key", "api_key", "apikey", "access key", "access_key", "private key", "private_key", "credential", "auth_key")
-CONTEXT = re.compile(rf"""(?i:{"|".join(map(re.escape, CONTEXT_WORDS))})["']?\s{{0,8}}(?:(?i:is|was)\s|[:=]|->|=>)\s{{0,8}}["']?([\x21\x23-\x26\x28-\x7E]{{6,128}})""", re.ASCII)
+CONTEXT = re.compile(rf"""(?i:{"|".join(map(re.escape, CONTEXT_WORDS))})["']?\s*+(?:(?i:is|was)\s|[:=]|->|=>)\s*+["']?([\x21\x23-\x26\x28-\x7E]{{6,}})""", re.ASCII)
 CUES = tuple(sorted({w.encode() for w in CONTEXT_WORDS}))
 BASE_CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 GUESS_LOG10 = 9.0
@@ -64,41 +64,82 @@ def _alphabet(ch: str) -> float:
     return math.log10(10 if ch.isdigit() else 26 if ch.isalpha() else 33)
 
 
-@lru_cache(1 << 14)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of the value."""
+def guess_cost(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest segmentation of the value; from the limit on, a number not below it.
+
+    Costs only add up, so nothing is continued from a prefix at or above the limit, and once no
+    prefix under it is left ahead, the whole value is above it. A long repeat or keyboard walk is
+    not followed again from a place that an earlier start serves at least as well.
+    """
     n, low = len(value), value.lower()
     best = [0.0] + [math.inf] * n
+    ahead = 0
 
-    def reach(i: int, j: int, cost: float) -> None:
-        best[j] = min(best[j], best[i] + cost)
+    def reach(j: int, cost: float) -> None:
+        nonlocal ahead
+        best[j] = min(best[j], cost)
+        if cost < limit:
+            ahead = max(ahead, j)
 
     plain = low.translate(LEET)
+    walk_end, walk_from, turned = 0, 0, [0] * (n + 1)
+    repeats: dict[tuple[int, int], tuple[int, int]] = {}
     for i in range(n):
-        reach(i, i + 1, _alphabet(value[i]))
+        if i > ahead:
+            return max(limit, best[i])
+        if i and _near(low[i - 1], low[i]):
+            turned[i] = turned[i - 1] + (PLACE[low[i]][0] != PLACE[low[i - 1]][0])
+        else:
+            turned[i] = turned[i - 1] if i else 0
+        here = best[i]
+        if here >= limit:
+            continue
+        reach(i + 1, here + _alphabet(value[i]))
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
                 if form in RANK:
                     ups = sum(c.isupper() for c in value[i:j])
-                    reach(i, j, math.log10(RANK[form] + 1) + extra + (0 if not ups else 0.3 if ups in (1, j - i) else 0.3 * ups))
+                    reach(j, here + math.log10(RANK[form] + 1) + extra + (0 if not ups else 0.3 if ups in (1, j - i) else 0.3 * ups))
         if found := DATE.match(value, i):
-            reach(i, found.end(), math.log10(200) + (0 if found.end() - i == 4 else math.log10(365)))
-        j = i + 1
-        while j < n and _near(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 3:
-            for end in range(i + 3, j + 1):
-                turns = sum(PLACE[low[k]][0] != PLACE[low[k - 1]][0] for k in range(i + 1, end))
-                reach(i, end, math.log10(len(PLACE)) + math.log10(end - i) + turns * math.log10(4))
+            reach(found.end(), here + math.log10(200) + (0 if found.end() - i == 4 else math.log10(365)))
+        if i >= walk_end or best[walk_from] + math.log10((i - walk_from + 3) / 3) + math.log10(4) * (turned[i] - turned[walk_from]) > here:
+            walk_from, j, turns = i, i + 1, 0
+            while j < n and _near(low[j - 1], low[j]):
+                turns += PLACE[low[j]][0] != PLACE[low[j - 1]][0]
+                j += 1
+                if j - i >= 3:
+                    cost = here + math.log10(len(PLACE)) + math.log10(j - i) + turns * math.log10(4)
+                    if cost >= limit:
+                        break
+                    reach(j, cost)
+            walk_end = j
         for size in range(1, min(8, (n - i) // 2) + 1):
+            start, end = repeats.get((size, i % size), (0, 0))
+            if i + size <= end and best[start] + math.log10((i - start) // size + 1) <= here:
+                continue
             unit, j = value[i : i + size], i + size
+            if not value.startswith(unit, j):
+                continue
+            base = here + sum(map(_alphabet, unit))
             while value.startswith(unit, j):
                 j += size
+                cost = base + math.log10((j - i) // size)
+                if cost >= limit:
+                    break
                 if j - i >= 3:
-                    reach(i, j, sum(map(_alphabet, unit)) + math.log10((j - i) // size))
+                    reach(j, cost)
+            repeats[size, i % size] = (i, j)
     return best[n]
 
 
+#: Long values are costed anew each time, so that the kept ones stay small.
+_kept_cost = lru_cache(1 << 14)(guess_cost)
+
+
+def _costly(value: str, limit: float) -> bool:
+    return (_kept_cost if len(value) <= 128 else guess_cost)(value, limit) >= limit
+
+
 def spans_of(text: str, limit: float = GUESS_LOG10) -> list[tuple[int, str, int]]:
     """(start, kind, end), by start and then kind."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -106,7 +147,7 @@ def spans_of(text: str, limit: float = GUESS_LOG10) -> list[tuple[int, str, int]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:)]}>")
-        if len(value) >= 6 and guess_cost(value) >= limit:
+        if len(value) >= 6 and _costly(value, limit):
             out.append((m.start(1), 3, m.start(1) + len(value)))
     return [(s, KINDS[k], e) for s, k, e in sorted(set(out))]
 

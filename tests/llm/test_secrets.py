@@ -1,7 +1,9 @@
 """The scan against the bare patterns on every text, and the guess costs."""
 
 import hashlib
+import random
 import re
+import time
 
 from lumenframe.llm.secrets import guess_cost, op9_secret_scan, scan_secrets, spans_of
 
@@ -52,3 +54,27 @@ def test_guess_cost():
     assert guess_cost("dragon2019") < guess_cost("dkxvqn7301")
     assert guess_cost("b7db7aa4a5fcc78305") > 15
     assert guess_cost("qwerty2020") < 9 < guess_cost("Tr9$kQz!w2Lx")
+
+
+def test_long_values(spark):
+    mixed = "".join(random.Random(1).choices("abcXYZ0189!$@~#%", k=1000))
+    texts = [f"pwd: {mixed} end", f"access key = {mixed}", "credential ->" + " " * 30 + mixed, "the password" + "\t" * 20 + "is" + " " * 50 + '"' + mixed + '"', "pwd: " + "a" * 1000, "pwd: " + "qw" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.spans if x.kind == "guess"] for r in scan_secrets(df).collect()}
+    assert got == {0: [mixed], 1: [mixed], 2: [mixed], 3: [mixed], 4: [], 5: []}
+
+
+def test_cost_under_a_limit():
+    rng = random.Random(2)
+    pieces = ["password", "P4ss", "dragon", "2019", "2020-10-11", "qwerty", "asdf", "aaaa", "abcabc", "1212", "zx", "7", "Q", "!", "qwqwqw", "11111111"]
+    for _ in range(500):
+        value = "".join(rng.choice(pieces) * rng.choice((1, 1, 1, 4)) for _ in range(rng.randint(1, 5)))
+        whole = guess_cost(value)
+        for limit in (3.0, 6.0, 9.0, 15.0):
+            cost = guess_cost(value, limit)
+            assert abs(cost - whole) < 1e-9 if whole < limit - 1e-9 else cost >= limit - 1e-9
+    began = time.process_time()
+    for value in ("x" * 50_000, "qw" * 25_000, "asdfghjkl" * 5_000, "ab1" * 20_000, "password" * 10_000):
+        guess_cost(value, 9.0)
+    assert guess_cost("x" * 50_000, 9.0) < 7
+    assert time.process_time() - began < 60
