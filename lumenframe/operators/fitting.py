@@ -1,55 +1,109 @@
-"""Fits of a few parameters per edit, each a task's own small problem over a strided sample of pixels."""
+"""Fits of a few parameters per edit over all its pixels: sums on Spark, a two by two system per image and round.
+
+Every round joins the trial parameters of each image and start to the pixels, sums J'J, J'r and
+the squared residual with partial results in each task, and takes the next damped step from the
+sums. The join is on (image, salt), so that an image with most of the pixels spreads over tasks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kept import kept
+
+STARTS = ((0.05, 0.05), (-0.05, -0.05), (1.0, 0.5))
+LOWER, UPPER = np.array([-5.0, -1.0]), np.array([5.0, 1.0])
+SALTS = 16
+_NUMBERS = ("e", "c", "loss", "h11", "h12", "h22", "d1", "d2", "damp", "te", "tc")
+_SUMS = ("rr", "s11", "s12", "s22", "s1", "s2")
+_STATE = f"image {{}}, start int, {', '.join(f'{n} double' for n in _NUMBERS)}, active boolean"
+
+
+def _rendered(v: str, e: Column, c: Column) -> Column:
+    x = F.col(v) * F.pow(F.lit(2.0), e)
+    i = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return x + c * (i * i * (3 - 2 * i) - i)
+
+
+def _joined(pixels: DataFrame, state: DataFrame) -> DataFrame:
+    """Every pixel beside each start of its image; a null image is an image."""
+    salted = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("image", "_image")
+    return pixels.join(salted, F.col("image").eqNullSafe(F.col("_image")) & (pixels["salt"] == salted["salt"])).drop("_image")
+
+
+def _sums(pixels: DataFrame, state: DataFrame) -> DataFrame:
+    """The state with the sums at te, tc, by the derivatives in closed form."""
+    e, c = F.col("te"), F.col("tc")
+    parts = {name: [] for name in _SUMS}
+    for v, after in (("r", "r2"), ("g", "g2"), ("b", "b2")):
+        x = F.col(v) * F.pow(F.lit(2.0), e)
+        i = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+        j2 = i * i * (3 - 2 * i) - i
+        j1 = float(np.log(2)) * x * (1 + F.when((x > 0) & (x < 1), c * (6 * x - 6 * x * x - 1)).otherwise(0.0))
+        r = x + c * j2 - F.col(after)
+        for name, term in zip(_SUMS, (r * r, j1 * j1, j1 * j2, j2 * j2, j1 * r, j2 * r), strict=True):
+            parts[name].append(term)
+    sums = [F.sum(reduce(lambda a, b: a + b, terms)).alias(name) for name, terms in parts.items()]
+    return _joined(pixels, state).groupBy("image", "start").agg(*[F.first(n).alias(n) for n in _NUMBERS], *sums)
+
+
+def _next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes the trial if it is better, and the next damped step, cut back to the bounds; done after a step under 1e-7 or at a damping over 1e9."""
+    for batch in batches:
+        old = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in (*_NUMBERS, *_SUMS)}
+        x, trial = np.stack((old["e"], old["c"]), 1), np.stack((old["te"], old["tc"]), 1)
+        first = np.isinf(old["loss"])
+        small = ~first & (np.abs(trial - x).max(1) < 1e-7)
+        better = old["rr"] < old["loss"]
+        x = np.where(better[:, None], trial, x)
+        loss, h11, h12, h22, d1, d2 = (np.where(better, old[n], old[k]) for n, k in zip(_SUMS, ("loss", "h11", "h12", "h22", "d1", "d2"), strict=True))
+        damp = np.where(first, old["damp"], np.where(better, old["damp"] / 3, old["damp"] * 4))
+        a, d = h11 + damp * (h11 + 1e-9), h22 + damp * (h22 + 1e-9)
+        # a parameter that its bound holds back stays, and the other one is solved alone
+        slope = np.stack((d1, d2), 1)
+        held = ((x <= LOWER) & (slope > 0)) | ((x >= UPPER) & (slope < 0))
+        slope, both = np.where(held, 0.0, slope), np.where(held.any(1), 0.0, h12)
+        with np.errstate(all="ignore"):
+            det = a * d - both * both
+            move = np.stack(((both * slope[:, 1] - d * slope[:, 0]) / det, (both * slope[:, 0] - a * slope[:, 1]) / det), 1)
+        usable = np.isfinite(loss) & np.isfinite(move).all(1)
+        ahead = np.clip(x + np.where(usable[:, None], move, 0.0), LOWER, UPPER)
+        new = [x[:, 0], x[:, 1], loss, h11, h12, h22, d1, d2, damp, ahead[:, 0], ahead[:, 1], usable & ~small & (damp <= 1e9)]
+        yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("start"), *map(pa.array, new)], ["image", "start", *_NUMBERS, "active"])
+
+
+def fit_edits(pixels: DataFrame, rounds: int = 40) -> DataFrame:
+    """image, exposure, contrast, error, message: the best of three starts over every pixel.
 
-def levenberg(residual, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, rounds: int = 40, step: float = 3e-3) -> tuple[np.ndarray, float]:
-    """Bounded least squares: damped steps, cut back to the bounds; parameters and mean absolute residual."""
-    x, damp = np.clip(start, lower, upper), 1e-2
-    r = residual(x)
-    for _ in range(rounds):
-        up = np.where(x + step <= upper, step, -step)
-        jac = np.stack([(residual(x + d) - r) / u for d, u in zip(np.diag(up), up, strict=True)], 1)
-        hessian = jac.T @ jac
-        move = np.linalg.solve(hessian + damp * np.diag(np.diag(hessian) + 1e-9), -jac.T @ r)
-        trial = np.clip(x + move, lower, upper)
-        rt = residual(trial)
-        if (rt**2).sum() < (r**2).sum():
-            done = np.abs(trial - x).max() < 1e-7
-            x, r, damp = trial, rt, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e9:
-                break
-    return x, float(np.abs(r).mean())
-
-
-def _exposure_contrast(rows: pd.DataFrame) -> pd.DataFrame:
-    """Exposure and contrast that turn r, g, b into r2, g2, b2; a failure is a row with its message, not a lost task."""
-    before, after = rows[["r", "g", "b"]].to_numpy(float), rows[["r2", "g2", "b2"]].to_numpy(float)
-
-    def residual(p: np.ndarray) -> np.ndarray:
-        x = before * 2.0 ** p[0]
-        inside = np.clip(x, 0, 1)
-        return (x + p[1] * (inside**2 * (3 - 2 * inside) - inside) - after).ravel()
-
-    name = rows["image"].iloc[0]
-    try:
-        fits = [levenberg(residual, np.array(s), np.array([-5.0, -1.0]), np.array([5.0, 1.0])) for s in ((0.05, 0.05), (-0.05, -0.05), (1.0, 0.5))]
-        (e, c), error = min(fits, key=lambda f: f[1])
-        return pd.DataFrame({"image": [name], "exposure": [e], "contrast": [c * 100], "error": [error], "message": [None]})
-    except (np.linalg.LinAlgError, ValueError) as problem:
-        return pd.DataFrame({"image": [name], "exposure": [None], "contrast": [None], "error": [None], "message": [str(problem)[:2000]]})
-
-
-def fit_edits(pixels: DataFrame, stride: int = 4) -> DataFrame:
-    """image, exposure, contrast, error, message; a fit reads every stride-th pixel, by place."""
-    some = pixels.where(F.pmod("place", F.lit(stride)) == 0)
-    return some.groupBy("image").applyInPandas(_exposure_contrast, "image long, exposure double, contrast double, error double, message string")
+    The exposure and contrast that turn r, g, b into r2, g2, b2 with the least squared residual, and
+    the mean absolute residual. An image with a missing channel is a row with a message.
+    """
+    channels = ("r", "g", "b", "r2", "g2", "b2")
+    rows = kept(pixels.select("image", *[F.col(c).cast("double").alias(c) for c in channels], (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt")), "fit-pixels")
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in channels])
+    images = rows.groupBy("image").agg(F.count_if(missing).alias("missing"))
+    images = kept(images, "fit-images")
+    starts = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), F.lit(e).alias("te"), F.lit(c).alias("tc")) for i, (e, c) in enumerate(STARTS)]))
+    first = images.where("missing = 0").select("image", starts.alias("s")).select("image", "s.start", "s.te", "s.tc")
+    unset = {n: F.lit(0.0) for n in _NUMBERS} | {"e": F.col("te"), "c": F.col("tc"), "te": F.col("te"), "tc": F.col("tc"), "loss": F.lit(float("inf")), "damp": F.lit(1e-2)}
+    state = kept(first.select("image", "start", *[unset[n].alias(n) for n in _NUMBERS], F.lit(True).alias("active")), "fit-state")
+    schema = _STATE.format(rows.schema["image"].dataType.simpleString())
+    ended = []
+    for _ in range(rounds + 1):
+        if state.where("active").limit(1).count() == 0:
+            break
+        state = kept(_sums(rows, state.where("active")).mapInArrow(_next, schema), "fit-state")
+        ended.append(state.where("not active"))
+    found = reduce(DataFrame.unionAll, ended, state.where("active"))
+    away = reduce(lambda a, b: a + b, [F.abs(_rendered(v, F.col("e"), F.col("c")) - F.col(after)) for v, after in (("r", "r2"), ("g", "g2"), ("b", "b2"))])
+    errors = _joined(rows, found.select("image", "start", "e", "c")).groupBy("image", "start", "e", "c").agg((F.sum(away) / (3 * F.count("*"))).alias("error"))
+    best = errors.groupBy("image").agg(F.min_by(F.struct("e", "c", "error"), F.struct("error", "start")).alias("x"))
+    fits = best.select("image", F.col("x.e").alias("exposure"), (F.col("x.c") * 100).alias("contrast"), "x.error", F.lit(None).cast("string").alias("message"))
+    none = F.lit(None).cast("double")
+    return fits.unionAll(images.where("missing > 0").select("image", none, none, none, F.concat("missing", F.lit(" pixels lack a channel"))))

@@ -83,6 +83,25 @@ def test_fit(spark):
     assert abs(got[0].exposure - 0.5) < 1e-3 and abs(got[1].contrast + 20) < 0.1 and all(r.error < 1e-4 and r.message is None for r in got.values())
 
 
+def test_fit_reads_every_pixel(spark):
+    """Odd and missing places count, for the parameters and for the error."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for image, place in [(0, 4 * i + 1) for i in range(60)] + [(1, None)] * 60 + [(2, i) for i in range(200)] + [(None, i) for i in range(40)]:
+        p = rng.random(3) * 0.4
+        x = p * 2**0.5
+        noise = 0.1 * (place % 4 == 1) if image == 2 else 0.0
+        rows.append((image, place, *map(float, p), *map(float, x + 0.2 * (x * x * (3 - 2 * x) - x) + noise)))
+    rows += [(3, 0, 0.1, 0.2, None, 0.1, 0.2, 0.3), (3, 4, 0.1, 0.2, 0.3, 0.1, 0.2, 0.3)]
+    df = spark.createDataFrame(rows, "image long, place long, r double, g double, b double, r2 double, g2 double, b2 double")
+    got = {r.image: r for r in fit_edits(df).collect()}
+    assert set(got) == {0, 1, 2, 3, None}
+    assert all(abs(got[k].exposure - 0.5) < 1e-3 and abs(got[k].contrast - 20) < 0.1 and got[k].error < 1e-4 for k in (0, 1, None))
+    assert got[2].error > 0.01
+    assert got[3].exposure is None and got[3].message
+    assert fit_edits(df.limit(0)).count() == 0
+
+
 def stream(spark, tmp_path, build, mode, name):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     parts = tmp_path / f"in-{name}"
