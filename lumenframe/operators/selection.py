@@ -7,7 +7,6 @@ deterministic; the base order is (distance, edit).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -38,13 +37,9 @@ def _per_query(pool: DataFrame, choose: Callable[[pd.DataFrame], list[int]]) ->
 
 
 def random_choice(pool: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
-    """A permutation seeded by the pool itself, so a query always gets the same."""
-
-    def choose(rows: pd.DataFrame) -> list[int]:
-        digest = hashlib.sha256(f"{seed}:{','.join(map(str, rows['edit']))}".encode()).digest()
-        return np.random.Generator(np.random.PCG64(int.from_bytes(digest[:8], "big"))).permutation(len(rows))[:n].tolist()
-
-    return _per_query(pool, choose)
+    """The first n in the order of a seeded hash, so a query always gets the same; each task passes on n rows of a query."""
+    order = [F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("query").cast("string"), F.col("edit").cast("string")), 256), F.col("edit")]
+    return pool.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= n).select("query", "edit", "place")
 
 
 def _scaled(values: np.ndarray) -> np.ndarray:

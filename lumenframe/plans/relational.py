@@ -164,8 +164,10 @@ def w11_min_max_normalise(spark, d):
 SELECT g, k FROM r WHERE i IN (SELECT CAST(floor(j * n / 10.0) AS BIGINT) FROM range(10) t(j))""")
 def w12_stratified_sample(spark, d):
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_custkey").alias("k"))
-    w = Window.partitionBy("g")
-    r = c.withColumn("i", F.row_number().over(w.orderBy("k")) - 1).withColumn("n", F.count("*").over(w))
+    # places over all rows by (g, k), less the first place of the segment: no task holds a whole segment
+    all_rows = numbered(c.withColumn("gk", F.struct("g", "k")), "gk")
+    segments = all_rows.groupBy(F.col("g").alias("_g")).agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    r = all_rows.join(segments, F.col("g").eqNullSafe(F.col("_g"))).withColumn("i", F.col("i") - F.col("first"))
     # i is a chosen place if some j has floor(j * n / 10) = i
     j = F.ceil(F.col("i") * 10 / F.col("n"))
     return r.where((j < 10) & (F.floor(j * F.col("n") / 10) == F.col("i"))).select("g", "k")

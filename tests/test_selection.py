@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import selection
 from lumenframe.operators.knn import ann_width, nearest, nearest_of_each
+from lumenframe.plans.relational import w12_stratified_sample
 
 SCHEMA = "query long, photo long, edit long, distance double, fit_error double, fingerprint array<double>"
 TWINS = [(1, 1, 11, 0.10, 1.0, [0.0, 0.0]), (1, 1, 12, 0.11, None, [0.01, 0.0]), (1, 2, 13, 0.30, 2.0, [5.0, 5.0])]
@@ -65,3 +66,26 @@ def test_neighbours(spark):
     assert each == [(0, 1, 5), (0, 2, 1), (9, 1, 0), (9, 2, 1)]
     assert nearest_of_each(corpus, queries.limit(0), 2).count() == 0
     assert [ann_width(k) for k in (1, 20, 50)] == [40, 40, 100]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_random_is_a_partial_top(spark):
+    pool = spark.range(5000).selectExpr("id % 2 AS query", "id AS photo", "id AS edit", "0.5D AS distance", "1.0D AS fit_error", "array(0.0D) AS fingerprint")
+    some = selection.random_choice(pool, 3, 7)
+    assert "InPandas" not in plan(some) and "WindowGroupLimit" in plan(some)
+    assert len(order(some)) == 3 and order(some) == order(selection.random_choice(pool.repartition(5), 3, 7)) != order(selection.random_choice(pool, 3, 8))
+
+
+def test_stratified_places(spark, tmp_path):
+    rows = [(k, ("a", "a", "a", None, "b")[k % 5] if k < 40 else "a") for k in range(1, 1000)]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string").repartition(3).write.parquet(str(tmp_path / "customer.parquet"))
+    got = w12_stratified_sample(spark, str(tmp_path))
+    want = []
+    for g in ("a", "b", None):
+        keys = sorted(k for k, s in rows if s == g)
+        want += [(g, keys[i]) for i in {j * len(keys) // 10 for j in range(10)}]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert "windowspecdefinition(g#" not in plan(got)
