@@ -1,16 +1,14 @@
-"""Substring dedup by relative Lempel-Ziv factors against blocks of an indexed reference.
-
-The whole collection is its own reference. It is cut into blocks by content: each window of W
-words has one anchor, the run of K words in it with the smallest hash, so equal windows have
-their anchors at the same place, and the anchors' hash says in which block a window is indexed.
-Consecutive windows with one anchor are a stretch; a document is a sequence of stretches.
-
-Every document is factored against every block that holds one of its anchors. A stretch whose
-anchor is found once in the collection matches nothing: no factor. If all stretches of an anchor
-read the same, whole stretches match the reference, and factors go on across them. Otherwise a
-factor may begin or end inside the stretch; there, at the factors' boundaries, every window is
-looked up by itself. Matching windows that follow each other are one factor of at least W words,
-and its words are a duplicate span.
+"""Substring dedup by exact counts of windows, dealt by minimizer anchors.
+
+This stands in for relative Lempel-Ziv: no reference is indexed and no longest match is parsed.
+Each window of W words has one anchor, the run of K words in it with the smallest hash, so equal
+windows have their anchors at the same place and meet under the anchors' hash. Consecutive
+windows with one anchor are a stretch; a document is a sequence of stretches.
+
+A stretch whose anchor is found once in the collection has no repeated window. If all stretches
+of an anchor read the same, all their windows are repeated. Otherwise every window of the stretch
+is counted by its own hash. Repeated windows that follow each other are one span of at least W
+words, and its words are a duplicate span.
 
 Anchors are first counted (with partial sums, so copies meet only as counts), and a Bloom filter
 of bounded size tells the second reading which stretches may be shared; only those are shuffled.
