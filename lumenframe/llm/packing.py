@@ -37,8 +37,8 @@ SHARD_PIECES = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
 #: Of each shard, pieces of its least filled bins that are packed again with those of so many other shards.
 LEFT_PIECES, MERGED = 64, 64
-#: Chunks whose ids a worker keeps: fewer than the default, as workers still hold what earlier stages of a pipeline took.
-CACHE_CHUNKS = 250_000
+#: Chunks whose ids a worker keeps.
+CACHE_CHUNKS = 1_000_000
 
 
 def _cut(path: str, end: int, capacity: int):
