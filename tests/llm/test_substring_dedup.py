@@ -27,8 +27,9 @@ def test_tables(spark):
     assert any(x[2] for x in want)
 
 
-@pytest.mark.parametrize(("seed", "w", "k"), [(1, 6, 3), (2, 8, 4), (3, 5, 1), (4, 35, 12)])
-def test_random(spark, seed, w, k):
+# wide: so few stretches of one anchor that windows of their own and hot keys occur
+@pytest.mark.parametrize(("seed", "w", "k", "wide"), [(1, 6, 3, 20_000), (2, 8, 4, 3), (3, 5, 1, 2), (4, 35, 12, 20_000), (5, 9, 2, 20_000)])
+def test_random(spark, seed, w, k, wide):
     rng = random.Random(seed)
     passages = [[f"p{rng.randrange(6 if i % 3 else 900)}" for _ in range(rng.randrange(2, 3 * w))] for i in range(8)]
     texts = [None, "", " \n", "a " * (5 * w), "b " * (w - 1), "c " * w, "é " * (w + 1)]
@@ -36,12 +37,49 @@ def test_random(spark, seed, w, k):
         parts = [rng.choice(passages) if rng.random() < 0.4 else [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 2 * w))] for _ in range(rng.randrange(1, 6))]
         texts.append("  ".join(" ".join(p) for p in parts))
     rows = [(i // 2, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[20])]
-    df = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], "doc_id long, text string, spans string, key int, copy int").repartition(3)
-    got = sorted((r["_n_words"], r["_n_removed"], r["_text"]) for r in sd.dedup_substrings(df, w, k).collect())
+    df = spark.createDataFrame([(*r, "s", 1, 2, 3, 4) for r in rows], "doc_id long, text string, spans string, _spans int, copy int, _copy int, rest int").repartition(3)
+    got = sorted((r["_n_words"], r["_n_removed"], r["_text"]) for r in sd.dedup_substrings(df, w, k, wide).collect())
     assert got == sorted(brute([t for _, t in rows], w))
+    assert {(r["spans"], r["_spans"], r["copy"], r["_copy"], r["rest"]) for r in sd.dedup_substrings(df, w, k, wide).collect()} == {("s", 1, 2, 3, 4)}
     assert sd.dedup_substrings(df.limit(0), w, k).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_longest_matches(seed):
+    """Factors are greedy, each the longest run of windows found elsewhere under its anchor, and their sources read the same."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 12, 60)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    windows = rng.integers(0, 4 if seed % 2 else 30, bounds[-1])
+    group = np.sort(rng.integers(0, 8, len(sizes)))
+    found = sd.Reference(windows, bounds, group)
+    runs = [(g, windows[a:b].tolist(), a) for g, a, b in zip(group.tolist(), bounds, bounds[1:], strict=False)]
+
+    def longest(g, rest, at):
+        best = 0
+        for h, other, start in runs:
+            for j in range(len(other)):
+                if h == g and start + j != at:
+                    n = 0
+                    while n < min(len(rest), len(other) - j) and rest[n] == other[j + n]:
+                        n += 1
+                    best = max(best, n)
+        return best
+
+    want = []
+    for s, (g, x, a) in enumerate(runs):
+        i = 0
+        while i < len(x):
+            n = longest(g, x[i:], a + i)
+            if n:
+                want.append((s, i, n))
+            i += max(n, 1)
+    stretch, place, source, length = found.parse()
+    assert sorted(zip(stretch.tolist(), place.tolist(), length.tolist(), strict=True)) == want
+    for s, p, q, n in zip(stretch, place, source, length, strict=True):
+        assert q != bounds[s] + p and windows[q : q + n].tolist() == windows[bounds[s] + p : bounds[s] + p + n].tolist()
+
+
 def test_smallest():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 24, 25, 100):
@@ -53,7 +91,7 @@ def test_smallest():
 
 def test_bloom(spark):
     keys = np.random.default_rng(2).integers(-(2**62), 2**62, 3000)
-    df = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    df = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3)
     held = sd.bloom_of(df, len(keys))
     assert held.holds(keys.view(np.uint64)).all()
     assert held.holds((keys + 12345).view(np.uint64)).mean() < 0.1
