@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import written
+from .cluster import hot_limit, join_by_counts, written
 
 #: Edges that one task joins before the rounds begin.
 LOCAL_EDGES = 500_000
@@ -48,11 +48,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars = edges.coalesce(-(-edges.count() // LOCAL_EDGES) or 1).mapInArrow(_contract, "a long, b long")
     both = written(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    # edges go by their far end, of which stars' centres may have any number
+    degrees = both.groupBy("b").agg(F.count("*").alias("n"))
+    degrees = written(degrees.where(F.col("n") > hot_limit(both.count())), "centres")
+    centres = bool(degrees.limit(1).count())
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hop = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        ends = labels.withColumnRenamed("node", "b")
+        if centres:
+            ends = ends.join(F.broadcast(degrees), "b", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+            met = join_by_counts(both, written(ends, "ends"), ["b"])
+        else:
+            met = both.join(ends, "b")
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hop = written(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), "hops")
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = written(hop.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
+        # one row for each component meets its own label; then it goes back to its nodes
+        ups = written(hop.groupBy("component").agg(F.count("*").alias("n")).join(up, "component", "left"), "ups")
+        new = written(join_by_counts(hop, ups, ["component"]).select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
         labels = new.drop("old")
         if not new.where("component <> old").limit(1).count():
             return labels

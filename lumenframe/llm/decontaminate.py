@@ -14,6 +14,7 @@ repeated results; other columns of either table are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared
+from .cluster import packed, prepared, unpacked
 from .textbatch import ALNUM, LOWER, Grams, slices, span_hashes, words
 
 BLOCK_BYTES = 8 << 20
@@ -36,79 +37,102 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over words. State 0 is the empty match."""
+    """Generalised suffix automaton over words. State 0 is the empty match.
+
+    Words are numbers. A state's first edge lies in two flat arrays and only further ones in a
+    dictionary, as nearly all states have one edge; owners of windows are numbers likewise.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.ids: dict[bytes, int] = {}
+        self.word, self.to, self.more = array("i", [-1]), array("i", [-1]), {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         items = [(name, w) for name, w in items if w]
         for _, w in items:
             last = 0
             for word in w:
-                last = self._extend(last, word)
-        #: States above which a match holds a whole window: the items that own the window.
-        self.owners: dict[int, set[str]] = {}
+                last = self._extend(last, self.ids.setdefault(word, len(self.ids)))
+        #: States above which a match holds a whole window, and the item that owns it; several owners are a set.
+        self.names: list[str] = sorted({name for name, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        self.owner, self.owners = array("i", [-1]) * len(self.link), {}
         self.short: dict[int, list[tuple[int, str]]] = {}
-        self._at_window = self._lifted()
+        by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        self._at_window = self._lifted(by_length)
         for name, w in items:
-            state = 0
+            state, mine = 0, number[name]
             for i, word in enumerate(w):
-                state = self.next[state][word]
+                state = self.step(state, self.ids[word])
                 if i + 1 >= window:
-                    self.owners.setdefault(self._at_window[state], set()).add(name)
+                    at = self._at_window[state]
+                    if self.owner[at] < 0:
+                        self.owner[at] = mine
+                    elif self.owner[at] != mine:
+                        self.owners.setdefault(at, {self.owner[at]}).add(mine)
             if len(w) < window:
                 self.short.setdefault(state, []).append((len(w), name))
-        self._short_link = self._chain()
+        self._short_link = self._chain(by_length)
         self._grams(items)
 
-    def _extend(self, last: int, word: bytes) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if word in nxt[last]:
-            q = nxt[last][word]
-            if length[q] == length[last] + 1:
-                return q
-            return self._clone(last, word, q)
-        made = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+    def step(self, state: int, word: int) -> int:
+        """The state that the word leads to, -1 if none."""
+        if self.word[state] == word:
+            return self.to[state]
+        further = self.more.get(state)
+        return further.get(word, -1) if further else -1
+
+    def _put(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
+
+    def _new(self, length: int, link: int) -> int:
+        self.word.append(-1)
+        self.to.append(-1)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
+    def _extend(self, last: int, word: int) -> int:
+        link, length = self.link, self.length
+        q = self.step(last, word)
+        if q >= 0:
+            return q if length[q] == length[last] + 1 else self._clone(last, word, q)
+        made = self._new(length[last] + 1, 0)
         p = last
-        while p >= 0 and word not in nxt[p]:
-            nxt[p][word] = made
+        while p >= 0 and self.step(p, word) < 0:
+            self._put(p, word, made)
             p = link[p]
         if p >= 0:
-            q = nxt[p][word]
+            q = self.step(p, word)
             link[made] = q if length[q] == length[p] + 1 else self._clone(p, word, q)
         return made
 
-    def _clone(self, p: int, word: bytes, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        made = len(nxt)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        link[q] = made
-        while p >= 0 and nxt[p].get(word) == q:
-            nxt[p][word] = made
-            p = link[p]
+    def _clone(self, p: int, word: int, q: int) -> int:
+        made = self._new(self.length[p] + 1, self.link[q])
+        self.word[made], self.to[made] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[made] = dict(self.more[q])
+        self.link[q] = made
+        while p >= 0 and self.step(p, word) == q:
+            self._put(p, word, made)
+            p = self.link[p]
         return made
 
-    def _by_length(self) -> list[int]:
-        return sorted(range(1, len(self.next)), key=self.length.__getitem__)
-
-    def _lifted(self) -> list[int]:
+    def _lifted(self, by_length: list[int]) -> array:
         """For each state the ancestor whose strings include those of exactly one window, or 0."""
-        at = [0] * len(self.next)
-        for s in self._by_length():
+        at = array("i", [0]) * len(self.link)
+        for s in by_length:
             if self.length[s] >= self.window:
                 at[s] = s if self.length[self.link[s]] < self.window else at[self.link[s]]
         return at
 
-    def _chain(self) -> list[int]:
+    def _chain(self, by_length: list[int]) -> array:
         """The nearest state, itself included, that ends a short item; 0 if none does."""
-        near = [0] * len(self.next)
-        for s in self._by_length():
+        near = array("i", [0]) * len(self.link)
+        for s in by_length:
             near[s] = s if s in self.short else near[self.link[s]]
         return near
 
@@ -149,24 +173,33 @@ class Automaton:
 
     def stream(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged spans of words inside windows, and the items that own them."""
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        link, length, window, step, ids = self.link, self.length, self.window, self.step, self.ids
         spans: list[tuple[int, int]] = []
         names: set[str] = set()
         state = matched = 0
-        for i, word in enumerate(tokens, 1):
-            while state and word not in nxt[state]:
+        for i, token in enumerate(tokens, 1):
+            word = ids.get(token)
+            if word is None:
+                state = matched = 0
+                continue
+            to = step(state, word)
+            while state and to < 0:
                 state = link[state]
                 matched = length[state]
-            if word in nxt[state]:
-                state = nxt[state][word]
-                matched += 1
-            else:
+                to = step(state, word)
+            if to < 0:
                 state = matched = 0
                 continue
+            state = to
+            matched += 1
             longest = 0
             if matched >= window:
                 longest = window
-                names |= self.owners.get(self._at_window[state], set())
+                at = self._at_window[state]
+                if at in self.owners:
+                    names.update(self.names[k] for k in self.owners[at])
+                elif self.owner[at] >= 0:
+                    names.add(self.names[self.owner[at]])
             at = self._short_link[state]
             while at:
                 for k, name in self.short[at]:
@@ -291,10 +324,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     machines = list(_blocks(benchmark, window, block_bytes))
     if len(machines) == 1:
         return docs.mapInArrow(_filter(machines[0], coverage), docs.schema)
-    marked = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
-    judged = find_contamination(marked.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, block_bytes)
-    bad = judged.where(contaminated(coverage)).select(F.col("doc_id").alias("_row")).distinct()
-    return marked.join(bad, "_row", "left_anti").select(*docs.columns)
+    marked = packed(docs, "doc_id", "text").withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
+    judged = find_contamination(marked.select(F.col("row").alias("doc_id"), "text"), benchmark, window, block_bytes)
+    bad = judged.where(contaminated(coverage)).select(F.col("doc_id").alias("row")).distinct()
+    return unpacked(marked.join(bad, "row", "left_anti"), docs.columns, ("doc_id", "text"))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

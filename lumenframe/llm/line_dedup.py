@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared, written
+from .cluster import packed, prepared, semi_by_counts, unpacked, written
 from .textbatch import LOWER, lines, slices, stripped, texts_of
 
 SLOTS = 4
@@ -163,7 +163,7 @@ def build_filters(table: DataFrame, min_docs: int = 10, shards: int = 1) -> Data
 
 
 def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int = 10, shards: int = 1) -> DataFrame:
-    """The filters after keys crossed the limit: those that rose to it are inserted, those that fell below are deleted."""
+    """The filters after keys crossed the limit: those that rose to it are inserted, those that fell below are deleted. A filter that gets full is built anew from the counts."""
     old = before.where(F.col("n_docs") >= min_docs).select("key")
     new = after.where(F.col("n_docs") >= min_docs).select("key")
     moves = new.join(old, "key", "left_anti").withColumn("come", F.lit(True)).unionByName(old.join(new, "key", "left_anti").withColumn("come", F.lit(False)))
@@ -172,15 +172,40 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_
     def update(have: pd.DataFrame, move: pd.DataFrame) -> pd.DataFrame:
         shard = int((have if len(have) else move)["shard"].iloc[0])
         held = CuckooFilter.load(have["cuckoo"].iloc[0]) if len(have) else CuckooFilter(len(move))
-        for key, come in zip(move["key"], move["come"], strict=True):
+        # deletions first, as they make room
+        for key, come in sorted(zip(move["key"], move["come"], strict=True), key=lambda x: x[1]):
             bucket, prints = (int(x[0]) for x in held._first(_pairs([key])))
-            if come and not held.insert(bucket, prints):
-                raise RuntimeError("a filter is full: build the shard anew")
             if not come:
                 held.delete(bucket, prints)
+            elif not held.insert(bucket, prints):
+                return pd.DataFrame({"shard": [shard], "cuckoo": [None]})
         return pd.DataFrame({"shard": [shard], "cuckoo": [held.dump()]})
 
-    return filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(update, "shard int, cuckoo binary")
+    made = written(filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(update, "shard int, cuckoo binary"), "filters")
+    full = made.where("cuckoo is null").select("shard")
+    if not full.limit(1).count():
+        return made
+    again = after.withColumn("shard", _shard(shards)).join(F.broadcast(full), "shard", "left_semi")  # a row for each shard
+    return made.where("cuckoo is not null").unionByName(build_filters(again, min_docs, shards))
+
+
+class LineStore:
+    """Reference counts and filters of a collection that documents join and leave."""
+
+    def __init__(self, docs: DataFrame, min_docs: int = 10, min_chars: int = 1):
+        self.min_docs, self.min_chars = min_docs, min_chars
+        self.table = written(count_lines(docs, min_chars), "line-counts")
+        self.shards = max(1, self.often().count() // SHARD_KEYS)
+        self.filters = written(build_filters(self.table, min_docs, self.shards), "filters")
+
+    def often(self) -> DataFrame:
+        return self.table.where(F.col("n_docs") >= self.min_docs)
+
+    def change(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Documents come and go; the counts and filters are then those of the collection as it is."""
+        after = written(changed(self.table, added, removed, self.min_chars), "line-counts")
+        self.filters = update_filters(self.filters, self.table, after, self.min_docs, self.shards)
+        self.table = after
 
 
 def _through(pairs: np.ndarray, filters: dict[int, CuckooFilter], shards: int) -> np.ndarray:
@@ -250,32 +275,34 @@ class _ByMarks:
 def _results(batch: pa.RecordBatch, drop) -> Iterator[pa.RecordBatch]:
     for row, end, n_lines, n_dropped, texts in _kept(batch, drop):
         part = batch.slice(row, end - row)
-        cols = {name: part.column(name) for name in part.schema.names if name not in ("text", "_marks")}
-        cols |= {"_n_lines": pa.array(n_lines, pa.int64()), "_n_dropped": pa.array(n_dropped, pa.int64()), "_text": texts_of(texts)}
-        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rest"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), texts_of(texts)], ["doc_id", "rest", "n_lines", "n_dropped", "kept"])
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, table: DataFrame | None = None, broadcast_keys: int = BROADCAST_KEYS, filter_keys: int = FILTER_KEYS) -> DataFrame:
-    """docs with the columns _n_lines, _n_dropped and _text (what is left) in place of text.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, store: LineStore | None = None, broadcast_keys: int = BROADCAST_KEYS, filter_keys: int = FILTER_KEYS) -> DataFrame:
+    """docs without text, with _n_lines, _n_dropped and _text (what is left), in place of columns of those names.
 
-    table: reference counts to use instead of those of docs. Up to broadcast_keys keys at the
+    store: counts and filters to use instead of those of docs. Up to broadcast_keys keys at the
     limit go to the tasks with their filters, and texts aren't shuffled. Up to filter_keys the
     filters alone go to the tasks, the lines that pass are joined with the table, and the marks
     with the documents. Beyond that all lines are joined with the table.
     """
     spark = prepared(docs.sparkSession)
-    table = table if table is not None else count_lines(docs, min_chars)
-    often = written(table.where(F.col("n_docs") >= min_docs), "line-counts")
+    store = store or LineStore(docs, min_docs, min_chars)
+    min_docs, min_chars, shards = store.min_docs, store.min_chars, store.shards
+    often = written(store.often(), "frequent-lines")
     n = often.count()
-    shards = max(1, n // SHARD_KEYS)
-    schema = docs.drop("text").schema.add("_n_lines", "long").add("_n_dropped", "long").add("_text", "string")
+    columns = [c for c in docs.columns if c != "text"]
+    docs = packed(docs, "doc_id", "text")
+    schema = docs.select("doc_id", "rest").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    named = lambda out: unpacked(out, columns, ("doc_id",), _n_lines=F.col("n_lines"), _n_dropped=F.col("n_dropped"), _text=F.col("kept"))
     filters = None
     if n <= max(broadcast_keys, filter_keys):
-        filters = {r.shard: bytes(r.cuckoo) for r in build_filters(often, min_docs, shards).collect()}
+        # 2 to 5 bytes for each key, with a bound on keys
+        filters = {r.shard: bytes(r.cuckoo) for r in store.filters.toLocalIterator()}
     if n <= broadcast_keys:
         held = spark.sparkContext.broadcast((filters, shards, {bytes(r.key) for r in often.select("key").toLocalIterator()}))
         drop = _ByTable(held, min_chars)
-        return docs.mapInArrow(lambda batches: (out for batch in batches for out in _results(batch, drop)), schema)
+        return named(docs.mapInArrow(lambda batches: (out for batch in batches for out in _results(batch, drop)), schema))
     held = spark.sparkContext.broadcast(filters)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +314,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, table:
                 if ready is not None and found:
                     may = _through(_pairs([k for _, k in found]), ready, shards)
                     found = [x for x, ok in zip(found, may, strict=True) if ok]
-                yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array([row + d for d, _ in found], pa.int64())), pa.array([k for _, k in found], pa.binary())], ["_row", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array([row + d for d, _ in found], pa.int64())), pa.array([k for _, k in found], pa.binary())], ["row", "key"])
 
-    rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
-    found = rows.select("_row", "text").mapInArrow(keys_of, f"_row {rows.schema['_row'].dataType.simpleString()}, key binary")
-    marks = found.join(often.select("key"), "key").groupBy("_row").agg(F.collect_set("key").alias("_marks"))
-    joined = rows.join(marks, "_row", "left").drop("_row")
-    return joined.mapInArrow(lambda batches: (out for batch in batches for out in _results(batch, _ByMarks(batch.column("_marks").to_pylist(), min_chars))), schema)
+    rows = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
+    found = written(rows.select("row", "text").mapInArrow(keys_of, f"row {rows.schema['row'].dataType.simpleString()}, key binary"), "found-lines")
+    confirmed = semi_by_counts(found, often.select("key", F.col("n_docs").alias("n")), ["key"])
+    marks = confirmed.groupBy("row").agg(F.collect_set("key").alias("marks"))
+    joined = rows.join(marks, "row", "left").drop("row")
+    return named(joined.mapInArrow(lambda batches: (out for batch in batches for out in _results(batch, _ByMarks(batch.column("marks").to_pylist(), min_chars))), schema))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """The collection arrives in two deliveries, the second of which takes a quarter of the first back and delivers it anew: counts and filters see insertions and deletions, and all documents are in at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
+    quarter = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(4)), F.lit(0))
+    store = LineStore(docs.where(quarter < 3))
+    store.change(removed=docs.where(quarter == 2))
+    store.change(added=docs.where(quarter >= 2))
+    out = dedup_lines(docs, store=store)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_text", 256).alias("kept_sha256"))

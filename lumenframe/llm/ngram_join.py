@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import prepared, small_or_shuffled, written
+from .cluster import join_by_counts, packed, prepared, small_or_shuffled, unpacked, written
 from .components import components
 from .textbatch import LOWER, NOT_SPACE, Grams, mix, owner, slices, span_hashes, words
 
@@ -47,8 +47,12 @@ HEAVY = 32
 SKETCH_BITS = 1024
 FEW = 4
 BROADCAST_ROWS = 1_000_000
-BUNDLE = 256
+#: Sets that one group compares with one set: so many, and of so many bytes by their largest allowed size.
+BUNDLE, BUNDLE_BYTES = 256, 32 << 20
 BLOCK = 4096
+#: Low bits of a signature that tell its level: bands of sets up to 2**63 elements are fewer than 256.
+LEVEL_BITS = 8
+LEVEL_MASK = (1 << LEVEL_BITS) - 1
 _SALT1, _SALT2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -169,7 +173,7 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, uppers: np.ndarray, levels: list[Level | None], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(signatures, their texts) for each level. The low six bits tell the level."""
+    """(signatures, their texts) for each level. The low LEVEL_BITS bits tell the level."""
     size = np.diff(bounds)
     text = owner(bounds)
     own = np.searchsorted(uppers, size)
@@ -191,7 +195,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, uppers: np.ndarray, levels:
         total = np.zeros(len(docs) * m, np.uint64)
         np.add.at(total, cell, value)
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64(1 + (k << 32)))
-        low = np.uint64(63)
+        low = np.uint64(LEVEL_MASK)
         # a set leaves its empty segments out as long as the slack for that bears it
         full = np.bincount(cell, minlength=len(docs) * m) > 0
         spare = (m - full.reshape(-1, m).sum(1)) * level.weight <= level.empties
@@ -396,7 +400,7 @@ def _may_link(percent: int):
             most = (n + k) * (100 - percent) // (100 + percent)
             x, y = batch.column("x"), batch.column("y")
             at = [i for i in np.flatnonzero(fits).tolist() if apart(x[i].as_py(), y[i].as_py()) <= most[i]]
-            yield batch.select(["a", "b"]).take(pa.array(at, pa.int64()))
+            yield batch.select(["a", "b", "k"]).take(pa.array(at, pa.int64()))
 
     return run
 
@@ -417,7 +421,7 @@ class _Join:
         uppers, levels = plan(sizes, self.percent)
         signed = self.docs.select("text").mapInArrow(_sign(self.n, uppers, levels, self.percent), "sig long, node long")
         rows = written(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, size int"), "shared")
-        level = F.col("sig").bitwiseAND(63)
+        level = F.col("sig").bitwiseAND(LEVEL_MASK)
         slack = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.heavies if v else 0)]), level.cast("int"))
         weight = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.weight if v else 1)]), level.cast("int"))
         heavy = rows.where("size = 3")
@@ -426,11 +430,12 @@ class _Join:
         return written(rows.where("size = 2").select("sig", "node").unionByName(kept), "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose sets link, by their sets."""
+        """The pairs (a, b, k) of nodes whose sets link, by their sets."""
         pairs = written(pairs, "pairs")
-        # a node with many partners goes in bundles, its own set with each
-        counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
-        dealt = written(pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / BUNDLE)).alias("bundle")), "bundles")
+        # a node with many partners goes in bundles, its own set with each; no partner is larger than k * 100 / percent
+        size = F.col("n") * F.col("k") * (8 * 100 / self.percent)
+        counts = pairs.groupBy("b").agg(F.count("*").alias("n"), F.first("k").alias("k")).select("b", "n", F.ceil(F.greatest(F.col("n") / BUNDLE, size / BUNDLE_BYTES)).alias("bundles"))
+        dealt = written(join_by_counts(pairs, counts, ["b"]).select("a", "b", F.pmod(F.xxhash64("a"), "bundles").alias("bundle")), "bundles")
         none = F.lit(None).cast("long").alias("a")
         roles = dealt.select(F.col("a").alias("node"), "a", "b", "bundle").unionByName(dealt.select(F.col("b").alias("node"), none, "b", "bundle").distinct())
         wanted = roles.select("node").distinct()
@@ -442,17 +447,18 @@ class _Join:
         return written(placed.groupBy("b", "bundle").applyInArrow(_compare(self.percent), "a long, b long").distinct(), "links")
 
     def _allowed(self, pairs: DataFrame, sized: DataFrame) -> DataFrame:
-        """The pairs that sizes and whole sketches allow to link."""
+        """The pairs that sizes and whole sketches allow to link, with b's size as k."""
         x = sized.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
         y = sized.select(F.col("node").alias("b"), F.col("n_shingles").alias("k"), F.col("sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").mapInArrow(_may_link(self.percent), "a long, b long")
+        return pairs.join(x, "a").join(y, "b").mapInArrow(_may_link(self.percent), "a long, b long, k long")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Links between classes that join all components, and the component of each linked class."""
         groups = self.shared()
         sized = self.profile.groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
         sized = written(sized.join(groups.select("node").distinct(), "node"), "sized")
-        stars = groups.join(groups.groupBy("sig").agg(F.min("node").alias("end")), "sig").where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b")).distinct()
+        ends = written(groups.groupBy("sig").agg(F.min("node").alias("end"), F.count("*").alias("n")), "ends")
+        stars = join_by_counts(groups, ends, ["sig"]).where("node <> end").select(F.col("node").alias("a"), F.col("end").alias("b")).distinct()
         stars = written(stars, "stars")
         links = self.verified(self._allowed(stars, sized))
         found = components(links)
@@ -486,10 +492,15 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, copy, n_shingles, group (null for empty sets) and first, the group's first row as (none, doc_id, copy)."""
     join = _Join(docs, n, percent)
     _, found = join.run()
-    rows = join.profile.join(found, "node", "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
+    # one row of each class, then of each group, before anything is joined: copies meet as counts only
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
-    firsts = rows.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("first"))
-    return rows.join(firsts, "group", "left").select("doc_id", "copy", "n_shingles", "group", "first")
+    classes = join.profile.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min(order).alias("first"))
+    classes = written(classes.join(found, "node", "left").select("node", "copies", "first", F.coalesce("component", "node").alias("group")), "classes")
+    groups = written(classes.groupBy("group").agg(F.min("first").alias("first"), F.count("*").alias("n")), "group-firsts")
+    named = written(join_by_counts(classes.drop("first"), groups, ["group"]).select("node", F.col("copies").alias("n"), "group", "first"), "named")
+    rows = join_by_counts(join.profile.where("n_shingles > 0").select("node", "doc_id", "copy", "n_shingles"), named, ["node"]).select("doc_id", "copy", "n_shingles", "group", "first")
+    none = join.profile.where("n_shingles = 0").select("doc_id", "copy", "n_shingles", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("group", "first")])
+    return rows.unionByName(none)
 
 
 def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -499,17 +510,17 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """docs with one row of each group, that with the smallest id; rows with empty sets all stay."""
+    """docs with one row of each group, that with the smallest id; rows with empty sets all stay, and so do all columns, whatever their names."""
     groups = written(_grouped(docs, n, percent), "first-rows").where(F.col("group").isNotNull())
-    rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
-    key = F.struct("doc_id", "copy").alias("_row")
+    rows = packed(docs, "doc_id", "text").withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
+    key = F.struct("doc_id", "copy").alias("row")
     gone = groups.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy")))).select(key).distinct()
-    left = rows.join(small_or_shuffled(gone, BROADCAST_ROWS), "_row", "left_anti")
+    left = rows.join(small_or_shuffled(gone, BROADCAST_ROWS), "row", "left_anti")
     repeated = groups.groupBy("doc_id", "copy").agg(F.count("*").alias("n")).where("n > 1").select(key)
     if repeated.limit(1).count():
         repeated = small_or_shuffled(repeated, BROADCAST_ROWS)
-        left = left.join(repeated, "_row", "left_anti").unionByName(left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
-    return left.select(*docs.columns)
+        left = left.join(repeated, "row", "left_anti").unionByName(left.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+    return unpacked(left, docs.columns, ("doc_id", "text"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm.
 
-Pieces are dealt by a hash to shards of a bounded number of pieces. Each shard is evolved on
-several islands at once, each a task of its own with its own seed; after an epoch every island
-receives its neighbour's elite (its best packing) and goes on, and the shard keeps the best.
+Pieces are dealt by a hash to shards of a bounded number of pieces. A shard that best fit packs
+into no more bins than its lengths ask for at least is done, as no packing is better. Every other
+shard is evolved on several islands at once, each a task of its own: the first starts from best
+fit, the others from best fit of their own random orders. After an epoch every island receives
+its neighbour's elite (its best packing) and goes on, and the shard keeps the best.
 A packing is a partition of the pieces into bins. Crossover injects well-filled bins of one
 parent whole into the other, drops the bins that hold a piece twice, and puts the displaced
-pieces back by best fit. An island stops as soon as it needs no more bins than all lengths ask.
+pieces back by best fit. `packing_report` tells each shard's bins before and after evolution.
 
 The least filled bins of each shard, a bounded number of pieces, are then packed again together
 with those of other shards, level by level, so unfilled room doesn't add up with the shards.
@@ -34,7 +36,7 @@ from .tokens import tokenizer
 
 CAPACITY = 4096
 SHARD_PIECES = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 40, 4
 #: Of each shard, pieces of its least filled bins that are packed again with those of so many other shards.
 LEFT_PIECES, MERGED = 64, 64
 #: Chunks whose ids a worker keeps.
@@ -114,12 +116,11 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
-    """The best packing that the island finds."""
+    """The best packing that the island finds, from the elites and best fit of noisy orders."""
     least = -(-sum(sizes) // capacity)
     rng = np.random.default_rng(seed)
-    down = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    people = elites or [best_fit(sizes, down, capacity)]
-    while len(people[0]) > least and len(people) < population:
+    people = list(elites)
+    while len(people) < population and not (people and len(people[0]) <= least):
         noise = np.array(sizes) * rng.uniform(0.8, 1.2, len(sizes))
         people.append(best_fit(sizes, np.argsort(-noise, kind="stable").tolist(), capacity))
     score = lambda x: _fitness(x, sizes, capacity)
@@ -133,15 +134,30 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[in
     return people[0]
 
 
+def _first(capacity: int):
+    """A shard by best fit decreasing, and the bins that its lengths ask for at least."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["row", "piece"], kind="stable").reset_index(drop=True)
+        sizes = rows["length"].tolist()
+        bins = best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), capacity)
+        where = np.zeros(len(rows), np.int64)
+        for k, x in enumerate(bins):
+            where[x] = k
+        return rows.assign(bin=where, n_bins=len(bins), least=-(-sum(sizes) // capacity))
+
+    return run
+
+
 def _island(capacity: int, epoch: int):
-    """One epoch of one island: its pieces once for each elite that came to it."""
+    """One epoch of one island: its pieces once for each elite that came to it. Only the first island begins with one."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["row", "piece", "origin"], kind="stable")
         own = rows.drop_duplicates(["row", "piece"])
         own = own[["shard", "island", "row", "piece", "length"]].reset_index(drop=True)
         sizes, elites = own["length"].tolist(), []
-        if epoch:
+        if epoch or int(own["island"].iloc[0]) == 0:
             for _, part in rows.groupby("origin", sort=True):
                 # every elite lists the same pieces, in the same order
                 elites.append([list(x) for x in part.reset_index(drop=True).groupby("bin", sort=True).indices.values()])
@@ -160,8 +176,13 @@ _ISLAND = "shard long, island int, row long, piece int, length long, bin long, n
 
 def _evolved(pieces: DataFrame, capacity: int) -> DataFrame:
     """shard, row, piece, length, bin: the best packing of each shard of (shard, row, piece, length)."""
+    first = written(pieces.groupBy("shard").applyInPandas(_first(capacity), "shard long, row long, piece int, length long, bin long, n_bins long, least long"), "best-fit")
+    left = first.where("n_bins > least")
+    done = first.where("n_bins <= least").select("shard", "row", "piece", "length", "bin")
+    if not left.limit(1).count():
+        return done
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
-    state = pieces.select("shard", islands, "row", "piece", "length", F.lit(0).alias("origin"), F.lit(0).cast("long").alias("bin"))
+    state = left.select("shard", islands, "row", "piece", "length", F.lit(0).alias("origin"), "bin")
     for epoch in range(EPOCHS):
         state = written(state.groupBy("shard", "island").applyInPandas(_island(capacity, epoch), _ISLAND), "islands")
         if epoch + 1 < EPOCHS:
@@ -169,7 +190,18 @@ def _evolved(pieces: DataFrame, capacity: int) -> DataFrame:
             move = state.select("shard", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), "row", "piece", "length", F.lit(1).alias("origin"), "bin")
             state = stay.unionByName(move)
     best = state.groupBy("shard").agg(F.min(F.struct("n_bins", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
-    return state.join(best, ["shard", "island"]).select("shard", "row", "piece", "length", "bin")
+    # one row for each shard that evolved
+    return done.unionByName(state.join(best, ["shard", "island"]).select("shard", "row", "piece", "length", "bin"))
+
+
+def packing_report(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """shard, least (bins that its lengths ask for), best_fit and evolved (bins) of the first level of pieces (row, piece, length)."""
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    dealt = written(pieces.select(F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"), "row", "piece", "length"), "dealt")
+    first = dealt.groupBy("shard").applyInPandas(_first(capacity), "shard long, row long, piece int, length long, bin long, n_bins long, least long")
+    before = first.groupBy("shard").agg(F.max("least").alias("least"), F.max("n_bins").alias("best_fit"))
+    after = _evolved(dealt, capacity).groupBy("shard").agg(F.countDistinct("bin").alias("evolved"))
+    return before.join(after, "shard")
 
 
 def _split_left(capacity: int):

@@ -3,13 +3,15 @@
 Bytes become learned vectors; learned filters slide over overlapping chunks that together cover
 the whole document; each filter keeps its largest response in a chunk, and the mean and the
 maximum over the chunks meet in one logistic unit. The network is trained on the driver, on a
-bounded sample of labelled rows (SAMPLE of each class, those with the smallest hash of their id);
-the share of each class among all labelled rows then sets the intercept. Scoring reads every
-byte of every text, in groups of chunks of a bounded size.
+bounded sample of labelled rows: of each class at most SAMPLE ids, those with the smallest hash,
+as long as their texts have SAMPLE_BYTES together. A text of the sample is read whole in each of
+its steps, in groups of chunks. The share of each class among all labelled rows then sets the
+intercept. Scoring reads every byte of every text, likewise in groups of a bounded size.
 
 Defined results: a null or empty text is scored as one chunk of padding; without labelled rows,
 or with one class only, the score is the share of label 1 (0.5 if there is none); repeated rows
-repeat; labels of unknown or repeated ids are used once each; other columns are kept or ignored.
+repeat; an id with several labels counts once, with the smallest, and with its first text in
+order; labels of unknown ids aren't used; other columns are kept, one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .cluster import prepared
+from .cluster import packed, prepared, unpacked
 from .textbatch import slices
 
-#: Labelled rows of each class that the network is trained on, at most, and chunks of one text in one step.
-SAMPLE, TRAIN_CHUNKS = 1000, 16
+#: Labelled rows of each class that the network is trained on, at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1000, 16 << 20
 WIDTH, STEP, DEPTH, FILTERS = 8, 2, 8, 32
 #: Windows in a chunk, and from one chunk's start to the next: 512 and 448 bytes.
 CHUNK, HOP = 256, 224
@@ -82,6 +85,46 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
 
 
+def gradients(net: Network, data: np.ndarray, starts: np.ndarray, last: np.ndarray, local: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The logistic loss of some texts, given by their chunks and bounds among them, and its gradients. Windows are held for a group of chunks at a time."""
+    won, top = [], []
+    for i in range(0, len(starts), GROUP):
+        _, x = net.windows(data, starts[i : i + GROUP], last[i : i + GROUP])
+        z = (x @ net.filters).reshape(-1, CHUNK, FILTERS)
+        won.append(z.argmax(1))
+        top.append(np.take_along_axis(z, won[-1][:, None], 1)[:, 0] + net.bias)
+    won, top = np.concatenate(won), np.concatenate(top)
+    pooled = np.maximum(top, 0)
+    counts = np.diff(local)
+    doc = np.repeat(np.arange(len(labels)), counts)
+    mean, most = np.add.reduceat(pooled, local[:-1]) / counts[:, None], np.maximum.reduceat(pooled, local[:-1])
+    feature = np.concatenate((mean, most), 1)
+    logit = feature @ net.out + net.intercept
+    loss = float(np.mean(np.logaddexp(0, logit) - labels * logit))
+    wrong = (1 / (1 + np.exp(-logit)) - labels).astype(np.float32) / len(labels)
+    spread = wrong[:, None] * net.out
+    # a window in two overlapping chunks may be the largest in both, which then share its gradient
+    ties = (pooled == most[doc]).astype(np.float32)
+    down = (spread[:, :FILTERS] / counts[:, None])[doc] + (spread[:, FILTERS:] / np.add.reduceat(ties, local[:-1]))[doc] * ties
+    down *= top > 0
+    to_filters, to_bytes = np.zeros_like(net.filters), np.zeros_like(net.bytes_)
+    for i in range(0, len(starts), GROUP):
+        g = down[i : i + GROUP]
+        chunk, f = np.nonzero(g)
+        at = np.minimum(starts[i + chunk] + STEP * won[i + chunk, f], last[i + chunk])
+        held = data[at[:, None] + np.arange(WIDTH)]
+        g = g[chunk, f][:, None]
+        x = net.bytes_[held].reshape(-1, WIDTH * DEPTH) * g
+        order = np.argsort(f, kind="stable")
+        present, first = np.unique(f[order], return_index=True)
+        if len(first):
+            to_filters[:, present] += np.add.reduceat(x[order], first).T
+        back = (net.filters.T[f] * g).reshape(-1, DEPTH)
+        for k in range(DEPTH):
+            to_bytes[:, k] += np.bincount(held.ravel(), back[:, k], 256)
+    return loss, {"bytes_": to_bytes, "filters": to_filters, "bias": down.sum(0), "out": feature.T @ wrong, "intercept": wrong.sum()}
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) -> Network:
     """Adam on the logistic loss; only the windows that win a pool carry gradients."""
     rng = np.random.default_rng(seed)
@@ -93,33 +136,10 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
         order = rng.permutation(n)
         for i in range(0, n, BATCH):
             docs = order[i : i + BATCH]
-            picked = [np.arange(bounds[d], bounds[d + 1]) for d in docs]
-            picked = [x if len(x) <= TRAIN_CHUNKS else np.sort(rng.choice(x, TRAIN_CHUNKS, replace=False)) for x in picked]
-            chunks = np.concatenate(picked)
-            local = np.concatenate(([0], np.cumsum([len(x) for x in picked])))
-            held, x = net.windows(data, starts[chunks], last[chunks])
-            z = (x @ net.filters).reshape(len(chunks), CHUNK, FILTERS)
-            won = z.argmax(1)
-            top = np.take_along_axis(z, won[:, None], 1)[:, 0] + net.bias
-            pooled = np.maximum(top, 0)
-            counts = np.diff(local)
-            doc = np.repeat(np.arange(len(docs)), counts)
-            mean, most = np.add.reduceat(pooled, local[:-1]) / counts[:, None], np.maximum.reduceat(pooled, local[:-1])
-            feature = np.concatenate((mean, most), 1)
-            wrong = (1 / (1 + np.exp(-(feature @ net.out + net.intercept))) - labels[docs]).astype(np.float32) / len(docs)
-            spread = wrong[:, None] * net.out
-            down = (spread[:, :FILTERS] / counts[:, None])[doc] + spread[:, FILTERS:][doc] * (pooled == most[doc])
-            down *= top > 0
-            rows = (np.arange(len(chunks))[:, None] * CHUNK + won).ravel()
-            g = down.ravel()
-            f = np.tile(np.arange(FILTERS), len(chunks))
-            live = np.flatnonzero(g)
-            rows, g, f = rows[live], g[live], f[live]
-            to_filters = np.zeros_like(net.filters.T)
-            np.add.at(to_filters, f, x[rows] * g[:, None])
-            to_bytes = np.zeros_like(net.bytes_)
-            np.add.at(to_bytes, held.reshape(-1, WIDTH)[rows].ravel(), (net.filters.T[f] * g[:, None]).reshape(-1, DEPTH))
-            grads = {"bytes_": to_bytes, "filters": to_filters.T, "bias": down.sum(0), "out": feature.T @ wrong + 1e-4 * net.out, "intercept": wrong.sum()}
+            chunks = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
+            local = np.concatenate(([0], np.cumsum([bounds[d + 1] - bounds[d] for d in docs])))
+            _, grads = gradients(net, data, starts[chunks], last[chunks], local, labels[docs])
+            grads["out"] = grads["out"] + 1e-4 * net.out
             step += 1
             for k, grad in grads.items():
                 m, v = state[k]
@@ -132,20 +152,30 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 7) ->
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | float:
     """The network, or a constant score where the labels have no two classes. Only rows of labels count that aren't held out."""
-    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(target).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(F.col(target).cast("int")).alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return counts.get(1, 0) / total if total else 0.5
     chosen = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = known.where(F.col("label") == label).select("doc_id", "label", F.xxhash64("doc_id").alias("hash")).orderBy("hash", "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most twice the sample of rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    # at most twice the sample of rows: first their sizes, then the texts that fit
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sizes = texts.groupBy("doc_id", "label", "hash").agg(F.max(F.octet_length("text")).alias("size")).collect()
+    room, picked = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sorted(sizes, key=lambda r: (r.hash, r.doc_id)):
+        if r.size <= room[r.label]:
+            room[r.label] -= r.size
+            picked.append((r.doc_id, r.label))
+    if not picked:
+        return counts[1] / total
+    ids = docs.sparkSession.createDataFrame(picked, known.schema)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.label for r in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return counts[1] / total
@@ -157,8 +187,9 @@ def held_out():
 
 
 def score(docs: DataFrame, model: Network | float, column: str = "score") -> DataFrame:
-    """docs with one more column: the probability of label 1, from the text alone."""
+    """docs with the probability of label 1, from the text alone, as one more column or in place of one of its name."""
     spark = prepared(docs.sparkSession)
+    columns, docs = docs.columns, packed(docs, "text")
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +203,9 @@ def score(docs: DataFrame, model: Network | float, column: str = "score") -> Dat
                     parts.append(1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -50, 50))))
                 else:
                     parts.append(np.full(end - row, float(net)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.limit(0).withColumn(column, F.lit(0.0)).schema)
+    return unpacked(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])), columns, ("text",), **{column: F.col("score")})
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Each document is read once; what the later steps need of it (counts, and for eac
 line its hash and words) is kept as a table in the shared folder. Line frequencies are counted
 over (host, line) pairs, so a hot host spreads over all tasks, and only lines over the limit go on.
 
-The limit is relative to the host: more than max(min_docs, share * documents of the host).
+The limit is absolute: lines in more than min_docs documents of a host, however large it is.
 Lines over it are removed; a document that keeps less than min_left of its words is rejected.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared, small_or_shuffled, written
+from .cluster import prepared, semi_by_counts, written
 from .textbatch import LOWER, NOT_SPACE, Grams, lines, list_array, mix, owner, slices, span_hashes, stripped, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -118,19 +118,21 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.mapInArrow(_measure, f"doc_id {kind}, host string, {counts}, lines array<struct<line: long, words: long>>")
 
 
-def frequent_lines(measured: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """host, line, n_docs of the lines over their host's limit."""
-    counts = measured.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * share).select("host", "line", "n_docs")
+def frequent_lines(measured: DataFrame, min_docs: int) -> DataFrame:
+    """host, line, n_docs of the lines in more than min_docs documents of their host, at any size of host."""
+    return measured.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.01, min_left: float = 0.3, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = 20, min_left: float = 0.3, min_words: int = 50) -> DataFrame:
     """doc_id, the base counts, base_failed, n_left_words (outside frequent lines) and kept."""
     base = written(measure(docs, host).withColumn("row", F.monotonically_increasing_id()), "quality-base")
-    often = small_or_shuffled(written(frequent_lines(base, min_docs, share), "quality-lines"), BROADCAST_LINES)
+    often = written(frequent_lines(base, min_docs), "quality-lines")
     pairs = base.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.words")
-    gone = pairs.join(often.select("host", "line"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_gone"))
+    if often.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        found = pairs.join(F.broadcast(often.select("host", "line")), ["host", "line"])
+    else:
+        found = semi_by_counts(pairs, often.withColumnRenamed("n_docs", "n"), ["host", "line"])
+    gone = found.groupBy("row").agg(F.sum("words").alias("n_gone"))
     left = F.col("n_words") - F.coalesce("n_gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return base.drop("lines").join(gone, "row", "left").select("doc_id", *_BASE, failed.alias("base_failed"), left.alias("n_left_words"), (~failed & (left >= F.col("n_words") * min_left)).alias("kept"))

@@ -42,9 +42,7 @@ split AS (SELECT row, host, unnest(string_split(text, chr(10))) AS line, generat
 keyed AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key,
   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM split),
 often AS (
-  SELECT host, key FROM (SELECT host, key, count(DISTINCT row) AS n_docs FROM keyed WHERE n > 0 GROUP BY ALL)
-  JOIN (SELECT host, count(*) AS host_docs FROM docs GROUP BY ALL) USING (host)
-  WHERE n_docs > 20 AND n_docs > host_docs * 0.01),
+  SELECT host, key FROM keyed WHERE n > 0 GROUP BY ALL HAVING count(DISTINCT row) > 20),
 gone AS (SELECT row, sum(n) AS n_gone FROM keyed WHERE n > 0 AND (host, key) IN (SELECT (host, key) FROM often) GROUP BY row),
 dups AS (
   SELECT row, count(*) FILTER (n > 0 AND nth > 1) AS n_dup_lines

@@ -43,7 +43,7 @@ from .textbatch import NOT_SPACE, Grams, list_array, mix, slices, span_hashes, t
 
 WINDOW, ANCHOR = 35, 12
 #: Stretches of one anchor that a block indexes; beyond, its windows are blocks of their own.
-WIDE = 20_000
+WIDE = 2000
 #: Stretches that are indexed together, if their anchors have no more.
 BLOCK_ROWS = 20_000
 #: Bits of each Bloom filter: ten for each key, this many (32 MB) at most. A key's bits lie in one piece.

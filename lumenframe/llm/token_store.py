@@ -8,8 +8,10 @@ clear, so equal passages give equal chunks wherever they stand. The store has tw
 
 Each distinct chunk is stored once, under the SHA-256 of its data. A recipe lists the digests of
 a document's chunks in order, with the root of their Merkle tree; recipes are written in
-ascending order of doc_id (part by part), and start counts the ids of all documents before.
-Reading back hashes every chunk anew and compares the roots.
+ascending order of doc_id (part by part), and start counts the ids of all documents before. The
+manifest holds a Merkle root over the documents' roots of each part. Reading back holds the
+recipes against the manifest, hashes every chunk anew and compares the documents' roots. A chunk
+that many documents share is joined by a broadcast (`join_by_counts`).
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes first; rows with
 one doc_id are ordered by their place in the input; other columns are ignored.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import prepared, shared_folder
+from .cluster import join_by_counts, prepared, shared_folder, written
 from .textbatch import Grams, mix, slices
 from .tokens import TOKEN_SLICE, tokenizer
 
@@ -106,6 +108,8 @@ def _cut(path: str, end: int, width: int):
         for batch in batches:
             for row, stop, data, offsets in slices(batch, limit=TOKEN_SLICE):
                 ids, bounds = with_end(*machine.encode(data, offsets), end)
+                if len(ids) and int(ids.max()) >> (8 * width):
+                    raise OverflowError(f"id {ids.max()} doesn't fit into {width} bytes")
                 ends = chunk_ends(ids, bounds)
                 raw = ids.astype(f"<u{width}").tobytes()
                 digests, sizes, blobs = [], [], []
@@ -155,9 +159,22 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary())], [*batch.schema.names, "root"])
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, width: int = 2) -> None:
-    """Writes path/blocks (chunks and references) and path/recipes."""
+def width_for(tokenizer_path: str, end: int) -> int:
+    """Bytes of an id: 2 where all ids of the vocabulary and the end id fit, else 4."""
+    most = max(end, *tokenizer(tokenizer_path).library.get_vocab().values())
+    return 2 if most < 1 << 16 else 4
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, root: the Merkle root of the documents' roots in each part of the recipes."""
+    parts = recipes.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("start", "row", "root"))).alias("x")).select("part", F.size("x").cast("long").alias("n_docs"), F.col("x.root").alias("digests"))
+    return parts.mapInArrow(_rooted, "part int, n_docs long, digests array<binary>, root binary").drop("digests")
+
+
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, width: int | None = None) -> None:
+    """Writes path/blocks (chunks and references), path/recipes and path/manifest. width: bytes of an id, by default those the vocabulary needs."""
     spark = prepared(docs.sparkSession)
+    width = width or width_for(tokenizer_path, end)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     cut = rows.mapInArrow(_cut(tokenizer_path, end, width), f"doc_id {kind}, row long, seq int, digest binary, n int, data binary")
@@ -176,6 +193,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, w
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     # one row for each partition, so never large
     held.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("start", F.col("inside") + F.col("before")).drop("inside", "before").write.parquet(f"{path}/recipes")
+    manifest_of(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
 def _summed(width: int):
@@ -205,24 +223,37 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_store(spark, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, all from the files; a chunk that is missing or changed is an error."""
+def _recipes(spark, path: str) -> tuple[DataFrame, int]:
+    """The recipes, held against the manifest, and the bytes of an id."""
     recipes = spark.read.parquet(f"{path}/recipes")
+    held = spark.read.parquet(f"{path}/manifest")
+    # a row for each part
+    if manifest_of(recipes).exceptAll(held).unionByName(held.exceptAll(manifest_of(recipes))).limit(1).count():
+        raise ValueError("the recipes don't match the manifest")
+    first = recipes.select("width").first()
+    return recipes, first.width if first else 2
+
+
+def read_store(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, all from the files; a chunk or recipe that is missing or changed is an error."""
+    recipes, width = _recipes(spark, path)
     kind = recipes.schema["doc_id"].dataType.simpleString()
     chunks = spark.read.schema("digest binary, n int, data binary, kind string").parquet(f"{path}/blocks").where("kind = 'chunks'")
-    sums = chunks.select("data").mapInArrow(_summed(width), "digest binary, n int, crc long")
+    sums = chunks.select("data").mapInArrow(_summed(width), "digest binary, n int, crc long").withColumnRenamed("n", "size")
     refs = recipes.select("doc_id", "row", "start", "root", F.posexplode("digests").alias("seq", "digest"))
-    joined = refs.join(sums, "digest", "left").groupBy("doc_id", "row", "start", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "n", "crc"))).alias("parts"))
+    used = written(refs.groupBy("digest").agg(F.count("*").alias("n")).join(sums, "digest", "left"), "chunk-sums")
+    joined = join_by_counts(refs, used, ["digest"]).groupBy("doc_id", "row", "start", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", F.col("size").alias("n"), "crc"))).alias("parts"))
     return joined.select("doc_id", "start", "root", "parts").mapInArrow(_verified, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
-def read_ids(spark, path: str, width: int = 2) -> DataFrame:
+def read_ids(spark, path: str) -> DataFrame:
     """doc_id, start, ids array<int>: the documents put together again from their chunks."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes, width = _recipes(spark, path)
     kind = recipes.schema["doc_id"].dataType.simpleString()
     chunks = spark.read.schema("digest binary, data binary, kind string").parquet(f"{path}/blocks").where("kind = 'chunks'")
     refs = recipes.select("doc_id", "row", "start", F.posexplode("digests").alias("seq", "digest"))
-    joined = refs.join(chunks.select("digest", "data"), "digest").groupBy("doc_id", "row", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("x"))
+    used = refs.groupBy("digest").agg(F.count("*").alias("n")).join(chunks.select("digest", "data"), "digest")
+    joined = join_by_counts(refs, written(used, "used-chunks"), ["digest"]).groupBy("doc_id", "row", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("x"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

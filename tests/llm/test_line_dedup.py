@@ -5,7 +5,7 @@ import random
 
 import duckdb
 
-from lumenframe.llm.line_dedup import CuckooFilter, _pairs, _shard, build_filters, changed, count_lines, dedup_lines, op10_line_dedup, shard_of, update_filters
+from lumenframe.llm.line_dedup import CuckooFilter, LineStore, _pairs, _shard, build_filters, changed, count_lines, dedup_lines, op10_line_dedup, shard_of, update_filters
 from lumenframe.llm.queries import ORACLE
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,12 +35,13 @@ def cases():
 
 def test_all_ways(spark):
     rows = cases()
-    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, _n int").repartition(3)
+    docs = spark.createDataFrame([(i, t, "k", 1, 2, 3) for i, t in rows], "doc_id long, text string, key string, _n int, _row int, _marks int").repartition(3)
     want = sorted(brute([t for _, t in rows], 5))
     for most in ((1000, 1000), (0, 1000), (0, 0)):
         out = dedup_lines(docs, 5, broadcast_keys=most[0], filter_keys=most[1])
         assert sorted((r["_n_lines"], r["_n_dropped"], r["_text"]) for r in out.collect()) == want
-        assert set(out.columns) == {"doc_id", "key", "_n", "_n_lines", "_n_dropped", "_text"}
+        assert out.columns == ["doc_id", "key", "_n", "_row", "_marks", "_n_lines", "_n_dropped", "_text"]
+        assert {tuple(r)[1:5] for r in out.collect()} == {("k", 1, 2, 3)}
     assert dedup_lines(docs.limit(0), 5).count() == 0
 
 
@@ -72,6 +73,22 @@ def test_counts_can_be_undone(spark):
     assert sum((CuckooFilter.load(r.cuckoo).table > 0).sum() for r in down.collect()) == table.where("n_docs >= 5").count()
 
 
+def test_store_grows_and_shrinks(spark):
+    """Filters that get full are built anew; after any changes the store drops what a new one would."""
+    rows = cases()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = [f"line {i}" for i in range(400)]
+    more = spark.createDataFrame([(1000 + i, "\n".join(lines)) for i in range(6)], "doc_id long, text string")
+    store = LineStore(docs, 5)
+    store.change(added=more)
+    both = docs.unionByName(more)
+    plain = lambda d, s: sorted((r["_n_lines"], r["_n_dropped"], r["_text"]) for r in dedup_lines(d, 5, store=s).collect())
+    assert plain(both, store) == plain(both, LineStore(both, 5)) == sorted(brute([r.text for r in both.collect()], 5))
+    store.change(removed=more)
+    assert plain(docs, store) == sorted(brute([t for _, t in rows], 5))
+    assert sum((CuckooFilter.load(r.cuckoo).table > 0).sum() for r in store.filters.collect()) == store.often().count()
+
+
 def test_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(5000)]
     pairs = _pairs(keys)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lumenframe.llm.packing import best_fit, crossover, evolve, op7_best_fit_packing, pack, pack_documents
+from lumenframe.llm.packing import best_fit, crossover, evolve, op7_best_fit_packing, pack, pack_documents, packing_report
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -58,10 +58,33 @@ def test_island(sizes, seed):
     assert len(evolve(sizes, 100, seed, [first, other])) <= len(first)
 
 
+def triples(seed, n, capacity=1000):
+    """Pieces that fill n bins wholly, three to a bin."""
+    rng = np.random.default_rng(seed)
+    first = rng.integers(capacity * 2 // 5, capacity // 2, n)
+    second = rng.integers(capacity // 4, capacity * 3 // 10, n)
+    return np.concatenate((first, second, capacity - first - second)).tolist()
+
+
 def test_genetic_gain():
-    rng = np.random.default_rng(5)
-    sizes = rng.integers(200, 700, 120).tolist()
-    assert len(evolve(sizes, 1000, 1, [], generations=60, population=8)) <= len(best_fit(sizes, sorted(range(120), key=lambda i: -sizes[i]), 1000))
+    gains = []
+    for seed in range(6):
+        sizes = triples(seed, 20)
+        first = best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 1000)
+        gains.append(len(first) - len(evolve(sizes, 1000, seed, [first], generations=150, population=8)))
+    assert min(gains) >= 0 and max(gains) > 0
+
+
+def test_report(spark):
+    easy = [(i, 0, 10 + i % 7) for i in range(300)]
+    hard = [(1000 + i, 0, n) for i, n in enumerate(triples(1, 40))]
+    for rows, evolves in ((easy, False), (hard, True)):
+        df = spark.createDataFrame(rows, "row long, piece int, length long").repartition(2)
+        report = packing_report(df, 1000, 60).collect()
+        assert all(r.least <= r.evolved <= r.best_fit for r in report)
+        assert any(r.best_fit > r.least for r in report) == evolves
+        placed = pack(df, 1000, 60).collect()
+        assert sorted((r.row, r.piece) for r in placed) == sorted(x[:2] for x in rows)
 
 
 def test_empty(spark):

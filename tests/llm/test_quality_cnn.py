@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.llm import quality_cnn as q
 
@@ -49,10 +50,39 @@ def test_training_learns_and_is_repeatable():
     assert ((one.logit(one.pooled(data, starts, last), bounds) > 0) == labels).mean() > 0.95
 
 
+def test_gradients():
+    """Against finite differences in double precision, for texts of one chunk and of many."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefgh \n"), n)) for n in (5, 300, 2000, 90_000)]
+    labels = np.array([0, 1, 1, 0], np.float32)
+    net = q.Network(rng.normal(0, 0.5, (256, q.DEPTH)), rng.normal(0, 0.2, (q.WIDTH * q.DEPTH, q.FILTERS)), rng.normal(0, 0.1, q.FILTERS), rng.normal(0, 0.1, 2 * q.FILTERS), 0.1)
+    data, starts, last, bounds = q.padded(*q._joined(texts))
+    assert len(starts) > 2 * q.GROUP - 100
+    _, grads = q.gradients(net, data, starts, last, bounds, labels)
+    for name, at in (("bytes_", (ord("a"), 0)), ("bytes_", (ord(" "), 3)), ("filters", (5, 2)), ("filters", (40, 31)), ("bias", (7,)), ("out", (3,)), ("out", (q.FILTERS + 4,))):
+        values, found = getattr(net, name), []
+        for move in (1e-5, -2e-5):
+            values[at] += move
+            found.append(q.gradients(net, data, starts, last, bounds, labels)[0])
+        values[at] += 1e-5
+        assert abs((found[0] - found[1]) / 2e-5 - grads[name][at]) < 1e-4
+
+
+def test_sample_bounds_and_labels(spark):
+    """Texts beyond the sample's bytes are left out, and of contradictory labels the smallest counts, whatever the order."""
+    docs = spark.createDataFrame([(i, "good text " * 5 if i % 2 else "$$ bad " * 5) for i in range(40)] + [(1, "x" * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (5, 0)], "doc_id long, quality int")
+    one, two = (q.fit(docs, labels.orderBy(order), sample_bytes=1500) for order in ("quality", "doc_id"))
+    assert (one.filters == two.filters).all()
+    assert q.fit(docs, labels, sample_bytes=1) == q.fit(docs, labels, sample_bytes=0)
+
+
 def test_odd_tables(spark, tables, model):
     docs = spark.createDataFrame([(1, None, 2.0), (None, "", 1.0), (3, "x" * 400_000, 1.0), (3, "x" * 400_000, 1.0)], "doc_id long, text string, quality double")
     rows = q.score(docs, model).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
+    named = q.score(docs.withColumn("_score", F.lit(7)).withColumn("rest", F.lit(8)), model, "_score")
+    assert named.columns == ["doc_id", "text", "quality", "_score", "rest"] and {r.rest for r in named.collect()} == {8} and all(0 <= r["_score"] <= 1 for r in named.collect())
     assert q.score(docs.limit(0), model).count() == 0
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     assert q.fit(docs, labels) == 1.0 and q.fit(docs, labels.limit(0)) == 0.5

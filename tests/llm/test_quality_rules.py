@@ -15,7 +15,7 @@ def low(s):
     return "".join(c.lower() if c.isascii() else c for c in s)
 
 
-def brute(docs, min_docs, share, min_left):
+def brute(docs, min_docs, min_left):
     hosts, lines = Counter(), defaultdict(Counter)
     for _, t, h in docs:
         hosts[h or ""] += 1
@@ -27,15 +27,15 @@ def brute(docs, min_docs, share, min_left):
         dup = sum(1 for i, x in enumerate(rows) if x.strip(SPACE) and x in rows[:i])
         grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         hit = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
-        gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in rows if x.strip(SPACE) and lines[h][low(x.strip(SPACE))] > max(min_docs, share * hosts[h]))
+        gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in rows if x.strip(SPACE) and lines[h][low(x.strip(SPACE))] > min_docs)
         failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
         yield d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit), failed, len(w) - gone, not failed and len(w) - gone >= min_left * len(w)
 
 
 def test_tables(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
-    got = sorted(map(tuple, judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_docs=2, share=0.05).collect()))
-    assert got == sorted(brute(docs, 2, 0.05, 0.3))
+    got = sorted(map(tuple, judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_docs=2).collect()))
+    assert got == sorted(brute(docs, 2, 0.3))
     got = sorted(map(tuple, op8_quality_rules(spark, sf_dir).collect()))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS FROM '{sf_dir}/documents.parquet'")
@@ -51,5 +51,5 @@ def test_corners(spark):
     docs += [(30 + i, body + "\nshared header ", None) for i in range(8)] + [(30, body + "\nshared header ", None), (50, "é€😀 " * 300_00, "b")]
     df = spark.createDataFrame([(*d, 1, "h") for d in docs], "doc_id long, text string, source string, row int, host string").repartition(3)
     for min_docs in (3, 50):
-        assert sorted(map(tuple, judge(df, min_docs=min_docs, share=0.0).collect())) == sorted(brute(docs, min_docs, 0.0, 0.3))
+        assert sorted(map(tuple, judge(df, min_docs=min_docs).collect())) == sorted(brute(docs, min_docs, 0.3))
     assert judge(df.limit(0)).count() == 0

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lumenframe.llm.token_store import chunk_ends, crc_joined, merkle_root, op5_token_store, read_ids, read_store, write_store
+from lumenframe.llm.token_store import chunk_ends, crc_joined, manifest_of, merkle_root, op5_token_store, read_ids, read_store, write_store
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,10 +47,25 @@ def test_damage_is_found(spark, tmp_path):
     changed = held.asDict() | {"root": bytearray(32)}
     spark.createDataFrame([changed], spark.read.parquet(f"{path}/recipes").schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/other/recipes")
     spark.read.parquet(f"{path}/blocks").write.partitionBy("kind").parquet(f"{path}/other/blocks")
+
+
+    with pytest.raises(Exception, match="manifest"):
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{path}/other/manifest")
+        read_store(spark, f"{path}/other")
+    manifest_of(spark.read.parquet(f"{path}/other/recipes")).write.mode("overwrite").parquet(f"{path}/other/manifest")
     with pytest.raises(Exception, match="Merkle"):
         read_store(spark, f"{path}/other").collect()
 
 
+def test_wide_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    write_store(docs, path, PATH, end=70_000)
+    assert [r.ids[-1] for r in read_ids(spark, path).collect()] == [70_000] * 2
+    with pytest.raises(Exception, match="fit into 2 bytes"):
+        write_store(docs, str(tmp_path / "narrow"), PATH, end=70_000, width=2)
+
+
 def test_parts():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 20_000).astype(np.uint32)
