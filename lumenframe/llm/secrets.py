@@ -5,6 +5,10 @@ brute-force spans; dynamic programming finds the segmentation with the fewest gu
 at or above the limit look made by a machine and become spans of the kind "guess"; cheap ones
 (placeholders, dictionary words with a year) are left to the fixed patterns.
 
+The dictionary is the collection's own: its most frequent words by their number in all texts
+(`frequent_words`), after a short fixed list of words that passwords are made of. A word's rank is
+what it costs, so plain prose after "password is" is cheap.
+
 Texts are screened by fast byte searches first, which let every possible match through.
 Defined results: a null or empty text has no spans; each row is scanned by itself, so ties and
 repeated rows repeat; positions are code points, ends exclusive; other columns are ignored.
@@ -15,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import prepared
-from .textbatch import slices
+from .textbatch import ALNUM, LOWER, slices, words
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,7 +49,8 @@ mysql linux windows google apple amazon github docker company internal office ma
 private account january february march april june july august september october november december monday friday love
 star magic happy lucky silver golden orange purple yellow green blue black white tiger eagle""".split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: Words that the dictionary learns from the documents: at most so many, each at least so frequent, of so many letters.
+DICTIONARY, LEAST_COUNT, WORD_LETTERS = 100_000, 3, (3, 24)
 LEET = str.maketrans("4@8(36!1|0$5+72", "aabcegiiiossttz")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (r, i + 0.5 * r) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -64,7 +68,15 @@ def _alphabet(ch: str) -> float:
     return math.log10(10 if ch.isdigit() else 26 if ch.isalpha() else 33)
 
 
-def guess_cost(value: str, limit: float = math.inf) -> float:
+def ranks_of(words: list[str]) -> dict[str, int]:
+    """Ranks of the fixed words and then of words by falling frequency."""
+    out = dict(RANK)
+    for w in words:
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+def guess_cost(value: str, limit: float = math.inf, rank: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation of the value; from the limit on, a number not below it.
 
     Costs only add up, so nothing is continued from a prefix at or above the limit, and once no
@@ -95,11 +107,11 @@ def guess_cost(value: str, limit: float = math.inf) -> float:
         if here >= limit:
             continue
         reach(i + 1, here + _alphabet(value[i]))
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        for j in range(i + 3, min(n, i + WORD_LETTERS[1]) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if form in RANK:
+                if form in rank:
                     ups = sum(c.isupper() for c in value[i:j])
-                    reach(j, here + math.log10(RANK[form] + 1) + extra + (0 if not ups else 0.3 if ups in (1, j - i) else 0.3 * ups))
+                    reach(j, here + math.log10(rank[form] + 1) + extra + (0 if not ups else 0.3 if ups in (1, j - i) else 0.3 * ups))
         if found := DATE.match(value, i):
             reach(found.end(), here + math.log10(200) + (0 if found.end() - i == 4 else math.log10(365)))
         if i >= walk_end or best[walk_from] + math.log10((i - walk_from + 3) / 3) + math.log10(4) * (turned[i] - turned[walk_from]) > here:
@@ -132,22 +144,14 @@ def guess_cost(value: str, limit: float = math.inf) -> float:
     return best[n]
 
 
-#: Long values are costed anew each time, so that the kept ones stay small.
-_kept_cost = lru_cache(1 << 14)(guess_cost)
-
-
-def _costly(value: str, limit: float) -> bool:
-    return (_kept_cost if len(value) <= 128 else guess_cost)(value, limit) >= limit
-
-
-def spans_of(text: str, limit: float = GUESS_LOG10) -> list[tuple[int, str, int]]:
+def spans_of(text: str, limit: float = GUESS_LOG10, rank: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
     """(start, kind, end), by start and then kind."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:)]}>")
-        if len(value) >= 6 and _costly(value, limit):
+        if len(value) >= 6 and guess_cost(value, limit, rank) >= limit:
             out.append((m.start(1), 3, m.start(1) + len(value)))
     return [(s, KINDS[k], e) for s, k, e in sorted(set(out))]
 
@@ -164,10 +168,38 @@ def _long_hex(data: np.ndarray, offsets: np.ndarray, least: int = 24) -> np.ndar
     return np.unique(np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])) if len(starts) else np.zeros(0, int)
 
 
-def _scan(limit: float):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of ASCII letters, lower-cased, with their number in the batch."""
+    letters = np.zeros(256, bool)
+    letters[97:123] = True
+    for batch in batches:
+        for _, _, data, offsets in slices(batch):
+            data = LOWER[data]
+            starts, ends, _ = words(data, offsets, ALNUM)
+            plain = np.concatenate(([0], np.cumsum(letters[data])))
+            size = ends - starts
+            fit = (size >= WORD_LETTERS[0]) & (size <= WORD_LETTERS[1]) & (plain[ends] - plain[starts] == size)
+            # words and what lies between them by turns, so that the bytes needn't be copied
+            bounds = np.append(np.stack((starts, ends), 1).ravel(), len(data)).astype(np.int64)
+            if not fit.any():
+                continue
+            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+            counts = column.take(pa.array(2 * np.flatnonzero(fit))).value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.large_string()).cast(pa.string()), counts.field("counts")], ["word", "n"])
+
+
+def frequent_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_COUNT) -> list[str]:
+    """The most frequent words of all texts, at most so many, those of equal number in order of their letters."""
+    prepared(docs.sparkSession)
+    counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def _scan(limit: float, dictionary):
     cues = sorted({*BASE_CUES, *CUES})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ranks_of(dictionary.value)
         for batch in batches:
             for row, end, data, offsets in slices(batch):
                 raw, where = data.tobytes(), offsets.tolist()
@@ -184,7 +216,7 @@ def _scan(limit: float):
                     text = int(np.searchsorted(offsets, at, "right")) - 1
                     some.add(text)
                     at = raw.find(b"AKIA", where[text + 1])
-                found = [spans_of(raw[where[d] : where[d + 1]].decode(), limit) if d in some else [] for d in range(end - row)]
+                found = [spans_of(raw[where[d] : where[d + 1]].decode(), limit, rank) if d in some else [] for d in range(end - row)]
                 rows = [[{"kind": k, "start": s, "end": e} for s, k, e in x] for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, end - row), pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))],
@@ -194,11 +226,13 @@ def _scan(limit: float):
     return run
 
 
-def scan_secrets(docs: DataFrame, limit: float = GUESS_LOG10) -> DataFrame:
-    """doc_id, spans array<struct<kind, start, end>> by start and then kind."""
+def scan_secrets(docs: DataFrame, limit: float = GUESS_LOG10, dictionary: list[str] | None = None) -> DataFrame:
+    """doc_id, spans array<struct<kind, start, end>> by start and then kind. dictionary: words by falling frequency, by default those of docs."""
     prepared(docs.sparkSession)
+    # at most DICTIONARY words
+    dictionary = docs.sparkSession.sparkContext.broadcast(frequent_words(docs) if dictionary is None else dictionary)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scan(limit), f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select("doc_id", "text").mapInArrow(_scan(limit, dictionary), f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """The scan against the bare patterns on every text, and the guess costs."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
-from lumenframe.llm.secrets import guess_cost, op9_secret_scan, scan_secrets, spans_of
+from lumenframe.llm import secrets
+from lumenframe.llm.secrets import guess_cost, op9_secret_scan, ranks_of, scan_secrets, spans_of
 
 
 def base(text):
@@ -56,6 +58,53 @@ def test_guess_cost():
     assert guess_cost("qwerty2020") < 9 < guess_cost("Tr9$kQz!w2Lx")
 
 
+def cheapest(value, rank):
+    """Every segmentation, with the cost of each piece stated anew."""
+    plain = value.lower().translate(secrets.LEET)
+
+    def pieces(a, b):
+        x = value[a:b]
+        if b - a == 1:
+            yield math.log10(10 if x.isdigit() else 26 if x.isalpha() else 33)
+        if 3 <= b - a <= secrets.WORD_LETTERS[1]:
+            ups = sum(c.isupper() for c in x)
+            case = 0 if not ups else 0.3 if ups in (1, len(x)) else 0.3 * ups
+            for form, extra in ((x.lower(), 0), (plain[a:b], 0.5)):
+                if form in rank:
+                    yield math.log10(rank[form] + 1) + extra + case
+            if all(secrets._near(p, q) for p, q in zip(x.lower(), x.lower()[1:], strict=False)):
+                turns = sum(secrets.PLACE[p][0] != secrets.PLACE[q][0] for p, q in zip(x.lower(), x.lower()[1:], strict=False))
+                yield math.log10(len(secrets.PLACE)) + math.log10(len(x)) + turns * math.log10(4)
+            for size in range(1, 9):
+                if len(x) % size == 0 and len(x) // size > 1 and x[:size] * (len(x) // size) == x:
+                    yield sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in x[:size]) + math.log10(len(x) // size)
+        found = secrets.DATE.match(value, a)
+        if found and found.end() == b:
+            yield math.log10(200) + (0 if b - a == 4 else math.log10(365))
+
+    def best(a):
+        return 0.0 if a == len(value) else min(cost + best(b) for b in range(a + 1, len(value) + 1) for cost in pieces(a, b))
+
+    return best(0)
+
+
+def test_every_segmentation():
+    rng = random.Random(8)
+    rank = ranks_of(["word", "ordinary", "thing"])
+    parts = ["word", "W0rd", "thing", "dragon", "2019", "qwe", "asd", "aa", "abab", "7", "Q", "!", "zx", "x1"]
+    for _ in range(250):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:11]
+        assert abs(guess_cost(value, rank=rank) - cheapest(value, rank)) < 1e-9, value
+
+
+def test_plain_words_are_no_secrets(spark):
+    prose = ["the password is required for authentication", "password: international", "the token is authentication", "a passphrase is recommended and required"]
+    texts = prose * 3 + ["international authentication required recommended", "the password is xK9$wq!Lz0Rt"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.spans if x.kind == "guess"] for r in scan_secrets(df).collect()}
+    assert {i: x for i, x in got.items() if x} == {13: ["xK9$wq!Lz0Rt"]}
+
+
 def test_long_values(spark):
     mixed = "".join(random.Random(1).choices("abcXYZ0189!$@~#%", k=1000))
     texts = [f"pwd: {mixed} end", f"access key = {mixed}", "credential ->" + " " * 30 + mixed, "the password" + "\t" * 20 + "is" + " " * 50 + '"' + mixed + '"', "pwd: " + "a" * 1000, "pwd: " + "qw" * 500]
