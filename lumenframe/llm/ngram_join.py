@@ -425,8 +425,9 @@ class _Join:
         slack = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.heavies if v else 0)]), level.cast("int"))
         weight = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.weight if v else 1)]), level.cast("int"))
         heavy = rows.where("size = 3")
-        needed = heavy.groupBy("node", level.alias("level")).agg(F.count("*").alias("n")).withColumn("sig", F.col("level")).where(F.col("n") * weight > slack).select("node", "level")
-        kept = heavy.withColumn("level", level).join(needed, ["node", "level"]).select("sig", "node")
+        # a set has a bounded number of signatures at a level
+        own = F.count("*").over(Window.partitionBy("node", level))
+        kept = heavy.withColumn("n", own).where(F.col("n") * weight > slack).select("sig", "node")
         return written(rows.where("size = 2").select("sig", "node").unionByName(kept), "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
