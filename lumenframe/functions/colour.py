@@ -125,9 +125,13 @@ def curve_tangents(points: Sequence[Sequence[float]]) -> np.ndarray:
 
 def curve_table(points: Sequence[Sequence[float]], size: int = TABLE) -> np.ndarray:
     """The tone curve through the points, sampled evenly."""
+    return curve_at(points, np.linspace(0, 1, size))
+
+
+def curve_at(points: Sequence[Sequence[float]], at: np.ndarray) -> np.ndarray:
+    """The tone curve's values at some places."""
     x, y = np.array(points, float).T
     m = curve_tangents(points)
-    at = np.linspace(0, 1, size)
     i = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
     h = x[i + 1] - x[i]
     t = (at - x[i]) / h

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenframe.functions.colour import curve_at
+from lumenframe.functions.vectors import euclidean
+
 SCHEMA = "schema int, white_balance struct<temperature: double, tint: double>, tone struct<exposure: double, contrast: double, highlights: double, shadows: double, whites: double, blacks: double>, color struct<saturation: double, vibrance: double>, tone_curve struct<points: array<array<double>>>"
 #: The keys of each group and the limit of each slider.
 GROUPS = {"white_balance": ("temperature", "tint"), "tone": ("exposure", "contrast", "highlights", "shadows", "whites", "blacks"), "color": ("saturation", "vibrance"), "tone_curve": ("points",)}
 LIMITS = {"exposure": 5.0}
 LEAST_GAP = 1 / 1023
+CURVE_AT = np.array([0.25, 0.5, 0.75])
 
 
 def parsed(json: Column) -> Column:
@@ -61,5 +67,25 @@ def neutral(json: Column) -> Column:
 
 
 def components(json: Column) -> Column:
-    """The ten sliders over their limits."""
-    return F.array(*[v / LIMITS.get(k, 100.0) for k, v in sliders(parsed(json))])
+    """Thirteen numbers: the ten sliders over their limits, and how far the curve, held in 0..1, lies off the diagonal at CURVE_AT. Null where points don't rise."""
+    recipe = parsed(json)
+    ten = F.array(*[v / LIMITS.get(k, 100.0) for k, v in sliders(recipe)])
+    points = recipe["tone_curve"]["points"]
+    return F.concat(ten, F.when(points.isNull(), F.array(*[F.lit(0.0)] * len(CURVE_AT))).otherwise(_off_diagonal(points)))
+
+
+@F.pandas_udf("array<double>")
+def _off_diagonal(points: pd.Series) -> pd.Series:
+    """A curve's tangents depend on each other one after the other, so this is computed in Arrow batches, once for each distinct curve of a batch."""
+    known: dict = {None: None}
+    keys = [None if p is None else tuple(tuple(map(float, x)) for x in p) for p in points]
+    for key in set(keys) - {None}:
+        x = [p[0] for p in key]
+        rises = len(x) > 1 and all(b > a for a, b in zip(x, x[1:], strict=False))
+        known[key] = (np.clip(curve_at(key, CURVE_AT), 0, 1) - CURVE_AT).tolist() if rises else None
+    return pd.Series([known[k] for k in keys])
+
+
+def recipe_distance(one: Column, two: Column) -> Column:
+    """Euclidean distance over the thirteen numbers of two recipes."""
+    return euclidean(components(one), components(two))

@@ -33,8 +33,10 @@ def sign_test(less: int, more: int) -> float:
     n, k = less + more, min(less, more)
     if n == 0:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(k + 1))
-    return min(1.0, 2 * tail / 2**n)
+    if n <= 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+    # the same sum by the incomplete beta function: large integers cost their square
+    return min(1.0, 2 * _beta(0.5, n - k, k + 1))
 
 
 def student_quantile(p: float, df: int) -> float:
@@ -61,7 +63,7 @@ def _beta(x: float, a: float, b: float) -> float:
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
     tiny = 1e-300
     f, c, d = 1.0, 1.0, 0.0
-    for i in range(500):
+    for i in range(20_000):
         m = i // 2
         if i == 0:
             num = 1.0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +15,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dot_with(v: Column, q: list[float]) -> Column:
-    """Inner product with a literal vector, unrolled so that it stays in generated code."""
-    return reduce(lambda s, i: s + F.element_at(v, i + 1).cast("double") * F.lit(float(q[i])), range(len(q)), F.lit(0.0))
+    """Inner product with a literal vector of any width: one literal array, as unrolled sums outgrow generated code."""
+    return dot(v, F.array(*[F.lit(float(x)) for x in q]))
 
 
 def norm(v: Column) -> Column:

@@ -12,6 +12,8 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     """The rows as a table in the folder of spark.checkpoint.dir; a temporary one only where none is set (tests on one machine)."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if not (root := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenframe-"))
         root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

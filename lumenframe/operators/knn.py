@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.vectors import dot_with, normalised
+from lumenframe.functions.vectors import dot_with, norm
 
-#: Query vectors that go to the tasks at once (2 MB at 512 numbers).
-QUERY_BLOCK = 512
+#: Query vectors that one scan of the corpus answers (32 MB at 512 numbers), and those that are multiplied at once.
+QUERY_BLOCK, AT_ONCE = 8192, 512
 
 
 def nearest(corpus: DataFrame, query: list[float], k: int, exclude: list, key: str = "photo", vector: str = "vector") -> DataFrame:
@@ -26,16 +27,18 @@ def nearest(corpus: DataFrame, query: list[float], k: int, exclude: list, key: s
     rows = corpus.where(F.col(vector).isNotNull())
     if exclude:
         rows = rows.where(~F.coalesce(F.col(key).isin(exclude), F.lit(False)))
-    distance = F.lit(1.0) - dot_with(normalised(F.col(vector)), q)
+    v = F.col(vector).cast("array<double>")
+    length = norm(v)
+    distance = F.lit(1.0) - F.when(length > 0, dot_with(v, q) / length).otherwise(0.0)
     return rows.select(key, distance.alias("distance")).orderBy("distance", key).limit(max(0, k))
 
 
 def nearest_of_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "photo", vector: str = "vector", query_key: str = "query", itself: bool = False) -> DataFrame:
     """query_key, key, distance, place (1 to k) for every row of queries (query_key, vector).
 
-    Queries pass in blocks of QUERY_BLOCK; each task multiplies its rows with a block and keeps
-    k of each query, so what is shuffled is k rows for each query and task, not all pairs.
-    itself: keep the row whose key is the query's.
+    Queries pass in blocks of QUERY_BLOCK; each task multiplies its rows with a block and holds
+    the k nearest of each query so far, so what is shuffled is k rows for each query and task, not
+    all pairs. itself: keep the row whose key is the query's.
     """
     spark = corpus.sparkSession
     kind, query_kind = corpus.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
@@ -45,19 +48,21 @@ def nearest_of_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "p
     def search(held) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = held.value
+            best = [_Nearest(q[i : i + AT_ONCE], k) for i in range(0, len(q), AT_ONCE)]
+            own = {name: j for j, name in enumerate(names)}
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
-                distance = 1.0 - (v / np.where(size > 0, size, 1.0)) @ q.T
-                keys = batch.column(0).to_pylist()
-                out: list[tuple] = []
-                for j, name in enumerate(names):
-                    order = np.argpartition(distance[:, j], min(k + 1, len(keys) - 1))
-                    limit = np.sort(distance[order[: k + 2], j])[: k + 1][-1]
-                    out += [(name, keys[i], float(distance[i, j])) for i in np.flatnonzero(distance[:, j] <= limit) if itself or keys[i] != name]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((batch_type(query_kind), batch.column(0).type, pa.float64()))], [query_key, key, "distance"])
+                v /= np.where(size > 0, size, 1.0)
+                skip = [] if itself else [(i, own[x]) for i, x in enumerate(batch.column(0).to_pylist()) if x in own]
+                for j, part in enumerate(best):
+                    part.add(batch.column(0), v, [(i, n - j * AT_ONCE) for i, n in skip if 0 <= n - j * AT_ONCE < AT_ONCE])
+            for j, part in enumerate(best):
+                if part.keys is not None:
+                    queries = pa.array([names[j * AT_ONCE + i] for i in part.query.tolist()], batch_type(query_kind))
+                    yield pa.RecordBatch.from_arrays([queries, part.keys, pa.array(part.distance)], [query_key, key, "distance"])
 
         return corpus.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"{query_key} {query_kind}, {key} {kind}, distance double")
 
@@ -82,6 +87,37 @@ def nearest_of_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "p
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+class _Nearest:
+    """The k nearest rows so far of each of some unit query vectors, ties by key, null keys first."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.bound = np.full(len(queries), np.inf)
+        self.query, self.distance, self.keys = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, keys: pa.Array, rows: np.ndarray, skip: list[tuple[int, int]]) -> None:
+        """rows: unit vectors; skip: (row, query) pairs that don't count."""
+        distance = 1.0 - rows @ self.queries.T
+        for row, query in skip:
+            distance[row, query] = np.inf
+        # no farther than the k-th so far, nor than the k-th of these rows
+        limit = self.bound
+        if 0 < self.k < len(distance):
+            limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=0)[self.k - 1])
+        row, query = np.nonzero((distance <= limit) & np.isfinite(distance))
+        held = [keys.take(pa.array(row))] if self.keys is None else [self.keys, keys.take(pa.array(row))]
+        keys, query = pa.concat_arrays(held), np.concatenate((self.query, query))
+        distance = np.concatenate((self.distance, distance[row, query[len(self.query) :]]))
+        order = pc.sort_indices(pa.table({"query": query, "distance": distance, "known": pc.is_valid(keys), "key": keys}), [(c, "ascending") for c in ("query", "distance", "known", "key")]).to_numpy()
+        query = query[order]
+        first = np.searchsorted(query, np.arange(len(self.queries)))
+        place = np.arange(len(query)) - first[query]
+        last = place == self.k - 1
+        self.bound[query[last]] = distance[order][last]
+        order, query = order[place < self.k], query[place < self.k]
+        self.query, self.distance, self.keys = query, distance[order], keys.take(pa.array(order))
+
+
 def batch_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 

@@ -98,6 +98,8 @@ def grouped(pool: DataFrame, n: int = 3, seed: int = 20260913) -> DataFrame:
     """The best member of each of n groups by fingerprint, in base order."""
 
     def choose(rows: pd.DataFrame) -> list[int]:
+        if n <= 0:
+            return []
         labels = kmeans_labels(np.stack(rows["fingerprint"].to_numpy()).astype(float), n, seed)
         return sorted({int(np.flatnonzero(labels == j)[0]) for j in set(labels.tolist())})[:n]
 

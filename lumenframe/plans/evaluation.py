@@ -48,16 +48,23 @@ def _arms(spark, d):
     return o.select("reference", F.col("x").alias("value")), o.select("reference", F.col("y").alias("value"))
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT count(*) AS n, count(*) FILTER (x < y) AS less, count(*) FILTER (x > y) AS more, count(*) FILTER (x = y) AS ties, round(avg(x - y), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS left_median FROM p")
+@query(f"""WITH {_PAIRS_SQL} SELECT count(*) AS n, count(*) FILTER (x < y) AS less, count(*) FILTER (x > y) AS more, count(*) FILTER (x = y) AS ties, round(avg(x - y), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS left_median,
+  (SELECT round(least(1.0::DOUBLE, 2 * sum(exp(lgamma(s.n + 1) - lgamma(i + 1) - lgamma(s.n - i + 1) - s.n * ln(2)))), 6)
+   FROM (SELECT count(*) FILTER (x <> y) AS n, least(count(*) FILTER (x < y), count(*) FILTER (x > y)) AS k FROM p) s, range(0, 2000000) t(i) WHERE i <= s.k) AS p FROM p""")
 def o5_paired_comparison(spark, d):
     r = evaluation.compare_arms(*_arms(spark, d), "reference", "value")
-    return spark.createDataFrame([(r["n"], r["less"], r["more"], r["ties"], round(r["mean"], 6), round(r["left_median"], 6))], "n long, less long, more long, ties long, mean double, left_median double")
+    return spark.createDataFrame([(r["n"], r["less"], r["more"], r["ties"], round(r["mean"], 6), round(r["left_median"], 6), round(r["p"], 6))], "n long, less long, more long, ties long, mean double, left_median double, p double")
 
 
-@query()
+#: Student's t for so many pairs, from the normal quantile by the series in 1 / df.
+_T_SQL = "(z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2))"
+
+
+@query(f"""WITH {_PAIRS_SQL}, s AS (SELECT avg(x - y) AS mean, stddev_samp(x - y) AS sd, count(*) AS n, CAST(count(*) - 1 AS DOUBLE) AS df, 1.959963984540054::DOUBLE AS z FROM p)
+SELECT round(mean - {_T_SQL} * sd / sqrt(n), 5) AS lower, round(mean + {_T_SQL} * sd / sqrt(n), 5) AS upper FROM s""")
 def o6_paired_interval(spark, d):
     r = evaluation.compare_arms(*_arms(spark, d), "reference", "value")
-    return spark.createDataFrame([(r["p"], *r["interval"])], "p double, lower double, upper double")
+    return spark.createDataFrame([tuple(round(x, 5) for x in r["interval"])], "lower double, upper double")
 
 
 @query("""WITH c AS (SELECT vec_id % 2 AS half, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),

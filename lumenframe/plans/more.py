@@ -121,9 +121,9 @@ def s2_union_overlap(spark, d):
     return u.agg(F.count("*").alias("rows"), F.countDistinct("k").alias("names"))
 
 
-@query("""SELECT doc_id, CASE WHEN len(v) = 1 THEN v[1] END AS word FROM (SELECT doc_id, list_sort(list_distinct(list_intersect(string_split(lower(left(text, 200)), ' '), ['the', 'die', 'les', 'los']))) AS v FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN len(v) = 1 THEN v[1] END AS word FROM (SELECT doc_id, list_sort(list_distinct(list_intersect(string_split(lower(text), ' '), ['the', 'die', 'les', 'los']))) AS v FROM documents)""")
 def s6_single_vocabulary_word(spark, d):
-    v = F.array_intersect(F.split(F.lower(F.left("text", F.lit(200))), " "), F.array(*map(F.lit, ("the", "die", "les", "los"))))
+    v = F.array_intersect(F.split(F.lower("text"), " "), F.array(*map(F.lit, ("the", "die", "les", "los"))))
     return table(spark, d, "documents").select("doc_id", F.when(F.size(v) == 1, F.get(v, F.lit(0))).alias("word"))
 
 

@@ -174,12 +174,12 @@ def v4_weighted_blocks(spark, sf_dir):
     return photos(spark, sf_dir).select("photo", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size(v).alias("width"))
 
 
-@query(f"""WITH {PHOTOS_SQL} SELECT photo, '[' || array_to_string(list_transform(vector[1:3], lambda x: printf('%.4f', x)), ',') || ']' AS literal, round(vector[1] + vector[2] + vector[3], 3) AS total FROM photos""")
+@query(f"""WITH {PHOTOS_SQL} SELECT photo, '[' || array_to_string(list_transform(vector, lambda x: printf('%.4f', x)), ',') || ']' AS literal, len(vector) AS width, round(list_sum(list_transform(vector, lambda x: CAST(printf('%.4f', x) AS DOUBLE))), 3) AS total FROM photos""")
 def src16_vector_literal(spark, sf_dir):
-    literal = F.concat(F.lit("["), F.array_join(F.transform(F.slice("vector", 1, 3), lambda x: F.format_string("%.4f", x)), ","), F.lit("]"))
-    parsed = F.from_json(literal, "array<double>")
-    total = F.aggregate(F.slice("vector", 1, 3), F.lit(0.0), lambda s, x: s + x)
-    return photos(spark, sf_dir).select("photo", F.when(F.size(parsed) == 3, literal).alias("literal"), F.round(total, 3).alias("total"))
+    literal = F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", x)), ","), F.lit("]"))
+    parsed = F.from_json("literal", "array<double>")
+    p = photos(spark, sf_dir).select("photo", literal.alias("literal")).withColumn("parsed", parsed)
+    return p.select("photo", "literal", F.size("parsed").cast("long").alias("width"), F.round(F.aggregate("parsed", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
 @query(f"""WITH {_BATCH_SQL}, h AS (SELECT query, photo FROM near WHERE photo % 3 <> 0)

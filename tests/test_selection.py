@@ -1,5 +1,6 @@
 """What every strategy promises, and how each chooses."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,8 +23,6 @@ STRATEGIES = {
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5])
 def test_promises(spark, name, n):
     pool = spark.createDataFrame(TWINS + [(2, 5, 21, 0.2, 0.0, [1.0, 1.0])], SCHEMA)
-    if n == 0 and name in ("mmr", "kmeans"):
-        pytest.skip("asks for at least one")
     one = sorted(map(tuple, STRATEGIES[name](pool, n).collect()))
     assert one == sorted(map(tuple, STRATEGIES[name](pool.repartition(3), n).collect()))
     assert len({(q, e) for q, e, _ in one}) == len(one)
@@ -65,6 +64,20 @@ def test_neighbours(spark):
     each = sorted((r["query"], r.place, r.photo) for r in nearest_of_each(corpus, queries, 2).collect())
     assert each == [(0, 1, 5), (0, 2, 1), (9, 1, 0), (9, 2, 1)]
     assert nearest_of_each(corpus, queries.limit(0), 2).count() == 0
+    rng = np.random.default_rng(4)
+    wide = rng.normal(size=(300, 512)).round(1)
+    wide[7], wide[8] = 0, wide[9]
+    corpus = spark.createDataFrame([(i if i != 20 else None, v.tolist()) for i, v in enumerate(wide)], "photo long, vector array<double>").repartition(3)
+    unit = wide / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-300)
+    queries = corpus.where("photo % 50 = 9").select(F.col("photo").alias("query"), "vector")
+    found = sorted((r["query"], r.place, -1 if r.photo is None else r.photo) for r in nearest_of_each(corpus, queries, 12).collect())
+    want = []
+    for q in range(9, 300, 50):
+        order = sorted((round(1 - float(unit[i] @ unit[q]), 12), -1 if i == 20 else i) for i in range(300) if i != q)[:12]
+        want += [(q, p + 1, i) for p, (_, i) in enumerate(order)]
+        if q == 9:
+            assert [r.photo for r in nearest(corpus, wide[9].tolist(), 12, [9]).collect()] == [None if i < 0 else i for _, i in order]
+    assert found == want
     assert [ann_width(k) for k in (1, 20, 50)] == [40, 40, 100]
 
 
