@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.colour import curve_at
 from lumenframe.functions.vectors import euclidean
@@ -74,7 +75,7 @@ def components(json: Column) -> Column:
     return F.concat(ten, F.when(points.isNull(), F.array(*[F.lit(0.0)] * len(CURVE_AT))).otherwise(_off_diagonal(points)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _off_diagonal(points: pd.Series) -> pd.Series:
     """A curve's tangents depend on each other one after the other, so this is computed in Arrow batches, once for each distinct curve of a batch."""
     known: dict = {None: None}
