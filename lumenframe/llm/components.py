@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import hot_limit, join_by_counts, written
+from .cluster import hot_limit, join_by_counts, released, written
 
 #: Edges that one task joins before the rounds begin.
 LOCAL_EDGES = 500_000
@@ -45,7 +45,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     long chains shrink by half; every round is a table in the shared folder.
     """
     edges = edges.select("a", "b").where("a <> b")
-    stars = edges.coalesce(-(-edges.count() // LOCAL_EDGES) or 1).mapInArrow(_contract, "a long, b long")
+    stars = edges.coalesce(-(-edges.count() // LOCAL_EDGES) or 1).mapInArrow(released(_contract), "a long, b long")
     both = written(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     # edges go by their far end, of which stars' centres may have any number

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import packed, prepared, unpacked
+from .cluster import packed, prepared, released, unpacked
 from .textbatch import ALNUM, LOWER, Grams, slices, span_hashes, words
 
 BLOCK_BYTES = 8 << 20
@@ -291,7 +291,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     machines = _blocks(benchmark, window, block_bytes)
-    found = [rows.mapInArrow(_scan(machine, b > 0), FOUND.format(id=kind)) for b, machine in enumerate(machines)]
+    found = [rows.mapInArrow(released(_scan(machine, b > 0)), FOUND.format(id=kind)) for b, machine in enumerate(machines)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -323,7 +323,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     prepared(docs.sparkSession)
     machines = list(_blocks(benchmark, window, block_bytes))
     if len(machines) == 1:
-        return docs.mapInArrow(_filter(machines[0], coverage), docs.schema)
+        return docs.mapInArrow(released(_filter(machines[0], coverage)), docs.schema)
     marked = packed(docs, "doc_id", "text").withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
     judged = find_contamination(marked.select(F.col("row").alias("doc_id"), "text"), benchmark, window, block_bytes)
     bad = judged.where(contaminated(coverage)).select(F.col("doc_id").alias("row")).distinct()

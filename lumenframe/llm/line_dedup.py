@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import packed, prepared, semi_by_counts, unpacked, written
+from .cluster import packed, prepared, released, semi_by_counts, unpacked, written
 from .textbatch import LOWER, lines, slices, stripped, texts_of
 
 SLOTS = 4
@@ -133,7 +133,7 @@ def count_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
             found.pop(None, None)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["key", "n_docs"])
 
-    return docs.select("text").mapInArrow(count, "key binary, n_docs long").groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").mapInArrow(released(count), "key binary, n_docs long").groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def changed(table: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, min_chars: int = 1) -> DataFrame:
@@ -302,7 +302,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, store:
     if n <= broadcast_keys:
         held = spark.sparkContext.broadcast((filters, shards, {bytes(r.key) for r in often.select("key").toLocalIterator()}))
         drop = _ByTable(held, min_chars)
-        return named(docs.mapInArrow(lambda batches: (out for batch in batches for out in _results(batch, drop)), schema))
+        return named(docs.mapInArrow(released(lambda batches: (out for batch in batches for out in _results(batch, drop))), schema))
     held = spark.sparkContext.broadcast(filters)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,11 +317,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, store:
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array([row + d for d, _ in found], pa.int64())), pa.array([k for _, k in found], pa.binary())], ["row", "key"])
 
     rows = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("copy")))
-    found = written(rows.select("row", "text").mapInArrow(keys_of, f"row {rows.schema['row'].dataType.simpleString()}, key binary"), "found-lines")
+    found = written(rows.select("row", "text").mapInArrow(released(keys_of), f"row {rows.schema['row'].dataType.simpleString()}, key binary"), "found-lines")
     confirmed = semi_by_counts(found, often.select("key", F.col("n_docs").alias("n")), ["key"])
     marks = confirmed.groupBy("row").agg(F.collect_set("key").alias("marks"))
     joined = rows.join(marks, "row", "left").drop("row")
-    return named(joined.mapInArrow(lambda batches: (out for batch in batches for out in _results(batch, _ByMarks(batch.column("marks").to_pylist(), min_chars))), schema))
+    return named(joined.mapInArrow(released(lambda batches: (out for batch in batches for out in _results(batch, _ByMarks(batch.column("marks").to_pylist(), min_chars)))), schema))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import join_by_counts, packed, prepared, small_or_shuffled, unpacked, written
+from .cluster import join_by_counts, packed, prepared, released, small_or_shuffled, unpacked, written
 from .components import components
 from .textbatch import LOWER, NOT_SPACE, Grams, mix, owner, slices, span_hashes, words
 
@@ -413,14 +413,14 @@ class _Join:
         self.n, self.percent = n, percent
         self.docs = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
         kind = docs.schema["doc_id"].dataType.simpleString()
-        self.profile = written(self.docs.mapInArrow(_profile(n), f"doc_id {kind}, copy long, n_shingles long, node long, check long, sketch binary"), "profiles")
+        self.profile = written(self.docs.mapInArrow(released(_profile(n)), f"doc_id {kind}, copy long, n_shingles long, node long, check long, sketch binary"), "profiles")
 
     def shared(self) -> DataFrame:
         """sig, node of all signatures that several classes share and that both need."""
         sizes = {r.n_shingles: r["count"] for r in self.profile.where("n_shingles > 0").groupBy("n_shingles").count().toLocalIterator()}
         uppers, levels = plan(sizes, self.percent)
-        signed = self.docs.select("text").mapInArrow(_sign(self.n, uppers, levels, self.percent), "sig long, node long")
-        rows = written(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, size int"), "shared")
+        signed = self.docs.select("text").mapInArrow(released(_sign(self.n, uppers, levels, self.percent)), "sig long, node long")
+        rows = written(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(released(_shared), "sig long, node long, size int"), "shared")
         level = F.col("sig").bitwiseAND(LEVEL_MASK)
         slack = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.heavies if v else 0)]), level.cast("int"))
         weight = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (k, v.weight if v else 1)]), level.cast("int"))
@@ -443,7 +443,7 @@ class _Join:
         first = self.profile.join(wanted, "node").groupBy("node", "check").agg(F.min(F.struct("doc_id", "copy")).alias("r"))
         some = small_or_shuffled(written(first.select(F.col("r.doc_id").alias("doc_id"), F.col("r.copy").alias("copy")), "wanted"), BROADCAST_ROWS)
         held = self.docs.join(some, self.docs["doc_id"].eqNullSafe(some["doc_id"]) & (self.docs["copy"] == some["copy"]), "left_semi")
-        sets = held.select("text").mapInArrow(_sets(self.n), "node long, shingles binary")
+        sets = held.select("text").mapInArrow(released(_sets(self.n)), "node long, shingles binary")
         placed = sets.join(small_or_shuffled(written(roles, "roles"), BROADCAST_ROWS), "node").select("a", "b", "bundle", "shingles")
         return written(placed.groupBy("b", "bundle").applyInArrow(_compare(self.percent), "a long, b long").distinct(), "links")
 
@@ -451,7 +451,7 @@ class _Join:
         """The pairs that sizes and whole sketches allow to link, with b's size as k."""
         x = sized.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
         y = sized.select(F.col("node").alias("b"), F.col("n_shingles").alias("k"), F.col("sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").mapInArrow(_may_link(self.percent), "a long, b long, k long")
+        return pairs.join(x, "a").join(y, "b").mapInArrow(released(_may_link(self.percent)), "a long, b long, k long")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Links between classes that join all components, and the component of each linked class."""
@@ -463,7 +463,7 @@ class _Join:
         stars = written(stars, "stars")
         links = self.verified(self._allowed(stars, sized))
         found = components(links)
-        small = written(sized.mapInArrow(_fold, "node long, n_shingles long, sketch binary"), "sketches")
+        small = written(sized.mapInArrow(released(_fold), "node long, n_shingles long, sketch binary"), "sketches")
         # in large groups a few partners of each set join most components; only what is left is paired in full
         for few in (FEW, 0):
             members = groups.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
@@ -479,7 +479,7 @@ class _Join:
             spread = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             spread = spread.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component").join(small, "node")
             dealt = spread.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-            more = dealt.mapInArrow(_across(self.percent, few), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+            more = dealt.mapInArrow(released(_across(self.percent, few)), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
             more = written(more, "across")
             rest = self.verified(self._allowed(more, sized))
             stars = stars.unionByName(more)

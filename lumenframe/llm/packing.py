@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared, written
+from .cluster import prepared, released, written
 from .textbatch import slices
 from .token_store import with_end
 from .tokens import tokenizer
@@ -71,7 +71,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end: int = 1, capacity: int
     prepared(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(_cut(tokenizer_path, end, capacity), f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(released(_cut(tokenizer_path, end, capacity)), f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], order: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import packed, prepared, unpacked
+from .cluster import packed, prepared, released, unpacked
 from .textbatch import slices
 
 #: Labelled rows of each class that the network is trained on, at most, and bytes of their texts.
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Network | float, column: str = "score") -> Dat
                     parts.append(np.full(end - row, float(net)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], [*batch.schema.names, "score"])
 
-    return unpacked(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])), columns, ("text",), **{column: F.col("score")})
+    return unpacked(docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])), columns, ("text",), **{column: F.col("score")})
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

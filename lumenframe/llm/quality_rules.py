@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared, semi_by_counts, written
+from .cluster import prepared, released, semi_by_counts, written
 from .textbatch import LOWER, NOT_SPACE, Grams, lines, list_array, mix, owner, slices, span_hashes, stripped, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -115,7 +115,7 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{name} long" for name in _BASE)
-    return rows.mapInArrow(_measure, f"doc_id {kind}, host string, {counts}, lines array<struct<line: long, words: long>>")
+    return rows.mapInArrow(released(_measure), f"doc_id {kind}, host string, {counts}, lines array<struct<line: long, words: long>>")
 
 
 def frequent_lines(measured: DataFrame, min_docs: int) -> DataFrame:

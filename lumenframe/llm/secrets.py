@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared
+from .cluster import prepared, released
 from .textbatch import ALNUM, LOWER, slices, words
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -191,7 +191,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_COUNT) -> list[str]:
     """The most frequent words of all texts, at most so many, those of equal number in order of their letters."""
     prepared(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = docs.select("text").mapInArrow(released(_count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -232,7 +232,7 @@ def scan_secrets(docs: DataFrame, limit: float = GUESS_LOG10, dictionary: list[s
     # at most DICTIONARY words
     dictionary = docs.sparkSession.sparkContext.broadcast(frequent_words(docs) if dictionary is None else dictionary)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scan(limit, dictionary), f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select("doc_id", "text").mapInArrow(released(_scan(limit, dictionary)), f"doc_id {kind}, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import hot_limit, packed, prepared, semi_by_counts, shared_folder, unpacked, written
+from .cluster import hot_limit, packed, prepared, released, semi_by_counts, shared_folder, unpacked, written
 from .textbatch import NOT_SPACE, Grams, list_array, mix, slices, span_hashes, texts_of, words
 
 WINDOW, ANCHOR = 35, 12
@@ -140,7 +140,7 @@ def bloom_of(keys: DataFrame, n: int) -> Bloom:
         cells[Bloom.places(table.column("key").to_numpy().view(np.uint64), width).ravel().astype(np.int64)] = True
         return pa.table({"piece": table.column("piece").slice(0, 1), "cells": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())})
 
-    made = keys.select("key").mapInArrow(name, "piece long, key long").groupBy("piece").applyInArrow(fill, "piece long, cells binary")
+    made = keys.select("key").mapInArrow(released(name), "piece long, key long").groupBy("piece").applyInArrow(fill, "piece long, cells binary")
     cells = np.zeros((pieces, width // 8), np.uint8)
     for r in made.toLocalIterator():
         cells[r.piece] = np.frombuffer(r.cells, np.uint8)
@@ -342,7 +342,7 @@ def factors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wide: int =
     spark = prepared(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     kind = rows.schema["doc_id"].dataType
-    counts = rows.select("text").mapInArrow(_count(window, k), "key long, n long, low long, high long").groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counts = rows.select("text").mapInArrow(released(_count(window, k)), "key long, n long, low long, high long").groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     anchors = written(counts.where("n > 1").select("key", "n", (F.col("low") != F.col("high")).alias("mixed")), "anchors")
     same, mixed = anchors.where("not mixed"), anchors.where("mixed")
     many = mixed.where(F.col("n") > wide)
@@ -351,11 +351,11 @@ def factors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wide: int =
     hot_same = np.array([r.key for r in same.where(F.col("n") > hot).select("key").toLocalIterator()], np.int64)
     routes = spark.sparkContext.broadcast(Routes(bloom_of(same, sizes[1]), bloom_of(mixed, sizes[2]), bloom_of(many, sizes[3]), np.sort(hot_same.view(np.uint64))))
     simple, path = kind.simpleString(), shared_folder(spark, "stretches")
-    rows.mapInArrow(_share(window, k, routes), _SHARED.format(id=simple)).write.partitionBy("route").parquet(path)
+    rows.mapInArrow(released(_share(window, k, routes)), _SHARED.format(id=simple)).write.partitionBy("route").parquet(path)
     placed = spark.read.schema(_SHARED.format(id=simple)).parquet(path)
     whole = placed.where(F.col("route") == DIRECT).select("doc_id", "copy", "first", "count")
     dealt = placed.where(F.col("route") == BLOCK).select("doc_id", "copy", "key", "first", "count", "windows").repartition("key").sortWithinPartitions("key")
-    parsed = dealt.mapInArrow(_parse(_arrow(kind)), _SPANS.format(id=simple))
+    parsed = dealt.mapInArrow(released(_parse(_arrow(kind))), _SPANS.format(id=simple))
     found = whole.unionByName(parsed)
     if sizes[3]:
         each = placed.where(F.col("route") == SINGLE).select("doc_id", "copy", "first", "key", F.posexplode("windows").alias("i", "w"))
@@ -402,7 +402,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wid
     rows = packed(docs, "doc_id", "text").withColumn("copy", F.xxhash64("text"))
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["doc"]) & (rows["copy"] == found["same"]), "left").select("doc_id", "text", "rest", "spans")
     schema = joined.select("doc_id", "rest").schema.add("n_words", "long").add("n_removed", "long").add("text", "string")
-    out = joined.mapInArrow(_cut(window), schema)
+    out = joined.mapInArrow(released(_cut(window)), schema)
     return unpacked(out, [c for c in docs.columns if c != "text"], ("doc_id",), _n_words=F.col("n_words"), _n_removed=F.col("n_removed"), _text=F.col("text"))
 
 

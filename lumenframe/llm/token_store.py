@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import join_by_counts, prepared, shared_folder, written
+from .cluster import join_by_counts, prepared, released, shared_folder, written
 from .textbatch import Grams, mix, slices
 from .tokens import TOKEN_SLICE, tokenizer
 
@@ -168,7 +168,7 @@ def width_for(tokenizer_path: str, end: int) -> int:
 def manifest_of(recipes: DataFrame) -> DataFrame:
     """part, n_docs, root: the Merkle root of the documents' roots in each part of the recipes."""
     parts = recipes.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("start", "row", "root"))).alias("x")).select("part", F.size("x").cast("long").alias("n_docs"), F.col("x.root").alias("digests"))
-    return parts.mapInArrow(_rooted, "part int, n_docs long, digests array<binary>, root binary").drop("digests")
+    return parts.mapInArrow(released(_rooted), "part int, n_docs long, digests array<binary>, root binary").drop("digests")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, width: int | None = None) -> None:
@@ -177,16 +177,16 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, w
     width = width or width_for(tokenizer_path, end)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    cut = rows.mapInArrow(_cut(tokenizer_path, end, width), f"doc_id {kind}, row long, seq int, digest binary, n int, data binary")
+    cut = rows.mapInArrow(released(_cut(tokenizer_path, end, width)), f"doc_id {kind}, row long, seq int, digest binary, n int, data binary")
     # data goes by its digest; references, of which one chunk may have any number, go anywhere
     spread = cut.repartition(F.when(F.col("data").isNull(), F.xxhash64("row", "seq")).otherwise(F.xxhash64("digest")))
-    once = spread.mapInArrow(_once, f"doc_id {kind}, row long, seq int, digest binary, n int, data binary, kind string")
+    once = spread.mapInArrow(released(_once), f"doc_id {kind}, row long, seq int, digest binary, n int, data binary, kind string")
     once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/blocks")
     refs = spark.read.schema(f"doc_id {kind}, row long, seq int, digest binary, n int, kind string").parquet(f"{path}/blocks").where("kind = 'refs'")
     recipes = refs.groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("x"))
     recipes = recipes.select("doc_id", "row", "n_tokens", F.lit(width).alias("width"), F.col("x.digest").alias("digests"))
     ordered = recipes.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(_rooted, T.StructType([*ordered.schema.fields, T.StructField("root", T.BinaryType())])).write.parquet(f"{path}/ordered")
+    ordered.mapInArrow(released(_rooted), T.StructType([*ordered.schema.fields, T.StructField("root", T.BinaryType())])).write.parquet(f"{path}/ordered")
     held = spark.read.parquet(f"{path}/ordered")
     totals = held.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
@@ -239,11 +239,11 @@ def read_store(spark, path: str) -> DataFrame:
     recipes, width = _recipes(spark, path)
     kind = recipes.schema["doc_id"].dataType.simpleString()
     chunks = spark.read.schema("digest binary, n int, data binary, kind string").parquet(f"{path}/blocks").where("kind = 'chunks'")
-    sums = chunks.select("data").mapInArrow(_summed(width), "digest binary, n int, crc long").withColumnRenamed("n", "size")
+    sums = chunks.select("data").mapInArrow(released(_summed(width)), "digest binary, n int, crc long").withColumnRenamed("n", "size")
     refs = recipes.select("doc_id", "row", "start", "root", F.posexplode("digests").alias("seq", "digest"))
     used = written(refs.groupBy("digest").agg(F.count("*").alias("n")).join(sums, "digest", "left"), "chunk-sums")
     joined = join_by_counts(refs, used, ["digest"]).groupBy("doc_id", "row", "start", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", F.col("size").alias("n"), "crc"))).alias("parts"))
-    return joined.select("doc_id", "start", "root", "parts").mapInArrow(_verified, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return joined.select("doc_id", "start", "root", "parts").mapInArrow(released(_verified), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -260,7 +260,7 @@ def read_ids(spark, path: str) -> DataFrame:
             ids = [np.frombuffer(b"".join(x), f"<u{width}").astype(np.int32) for x in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    return joined.select("doc_id", "start", F.col("x.data").alias("data")).mapInArrow(join, f"doc_id {kind}, start long, ids array<int>")
+    return joined.select("doc_id", "start", F.col("x.data").alias("data")).mapInArrow(released(join), f"doc_id {kind}, start long, ids array<int>")
 
 
 def op5_token_store(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared, shared_folder, small_or_shuffled, written
+from .cluster import prepared, released, shared_folder, small_or_shuffled, written
 
 #: The header fields of each version.
 ARC_FIELDS = {
@@ -158,7 +158,7 @@ def _files(spark, *paths: str) -> DataFrame:
 
 def read_arc(spark, *paths: str, with_payload: bool = True) -> DataFrame:
     """A row for each ARC record, with what its WARC record needs."""
-    return _files(spark, *paths).mapInArrow(_convert(with_payload), _CONVERTED)
+    return _files(spark, *paths).mapInArrow(released(_convert(with_payload)), _CONVERTED)
 
 
 def arc_to_warc(spark, arc_paths: list[str], path: str, least_bytes: int = LEAST_BYTES) -> None:
@@ -230,7 +230,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark, *paths: str) -> DataFrame:
     """A row for each response or revisit record; sound tells whether its payload has the digest it declares."""
-    return _files(spark, *paths).mapInArrow(_read, _READ)
+    return _files(spark, *paths).mapInArrow(released(_read), _READ)
 
 
 def op4_warc_convert(spark, sf_dir: str) -> DataFrame:
