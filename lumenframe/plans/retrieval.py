@@ -178,8 +178,10 @@ def v4_weighted_blocks(spark, sf_dir):
 def src16_vector_literal(spark, sf_dir):
     literal = F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", x)), ","), F.lit("]"))
     parsed = F.from_json("literal", "array<double>")
+    # sums of four decimals end in ties at the third: scaled first, as SQL rounds the product
+    total = F.round(F.aggregate("parsed", F.lit(0.0), lambda s, x: s + x) * 1000) / 1000
     p = photos(spark, sf_dir).select("photo", literal.alias("literal")).withColumn("parsed", parsed)
-    return p.select("photo", "literal", F.size("parsed").cast("long").alias("width"), F.round(F.aggregate("parsed", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+    return p.select("photo", "literal", F.size("parsed").cast("long").alias("width"), total.alias("total"))
 
 
 @query(f"""WITH {_BATCH_SQL}, h AS (SELECT query, photo FROM near WHERE photo % 3 <> 0)
