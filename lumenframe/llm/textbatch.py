@@ -12,10 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 GRAM_BASE = 0xD6E8FEB86659FD93
+#: Bytes up to which a span is hashed in steps of eight.
+SHORT = 32
+#: 2**61 - 1, and a point below it, drawn once.
+PRIME = np.uint64((1 << 61) - 1)
+POINT = 0x1A3C9F27D5B86E41
+_HALF, _LOW = np.uint64(31), np.uint64((1 << 31) - 1)
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -27,24 +36,6 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_tables: dict[int, list[np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = pow(base, -1, 1 << 64)
-        made = []
-        for b in (base, inverse):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            made.append(np.multiply.accumulate(out))
-        have = _tables[base] = made
-    return have[0], have[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -89,32 +80,88 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, another one for another odd base."""
-    power, inverse = _powers(base, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, another one for another seed.
+
+    Spans of up to SHORT bytes are mixed eight bytes at a time, each step a bijection that is not
+    linear; longer ones are hashed by XXH3.
+    """
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    out = mix(sizes.astype(np.uint64) * np.uint64(GRAM_BASE) ^ np.uint64(seed))
+    at, where, left = None, starts, sizes
+    for done in range(0, SHORT, 8):
+        if done:
+            some = np.flatnonzero(left > 8)
+            if not len(some):
+                return out
+            at = some if at is None else at[some]
+            where, left = where[some] + 8, left[some] - 8
+        part = eights[where] & _FIRST_BYTES[np.minimum(left, 8)]
+        if at is None:
+            out = mix(out ^ part)
+        else:
+            out[at] = mix(out[at] ^ part)
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+        out[long] = [digest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**64."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for a and b below it: in halves of 31 bits, as 2**61 is 1."""
+    high_a, low_a, high_b, low_b = a >> _HALF, a & _LOW, b >> _HALF, b & _LOW
+    middle = low_a * high_b + high_a * low_b
+    return _reduced(high_a * high_b * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & (_LOW >> np.uint64(1))) << _HALF) + low_a * low_b)
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n."""
+    have = _powers.get(base)
+    if have is None:
+        have = _powers[base] = np.ones(1, np.uint64)
+    while len(have) < n:
+        have = _powers[base] = np.concatenate((have, _product(have, np.uint64(pow(base, len(have), int(PRIME))))))
+    return have
 
 
 class Grams:
-    """Hashes of any runs of consecutive words, each in constant time."""
+    """Hashes of any runs of consecutive words, each in constant time: polynomials of the words' hashes modulo a prime."""
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
-        power, self.inverse = _powers(GRAM_BASE, n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * power[:n], out=self.sums[1:])
+        terms = _product(_reduced(hashes), _power_table(POINT, n)[:n])
+        self.back = _power_table(pow(POINT, -1, int(PRIME)), n + 1)
+        high, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        # sums of halves stay below 2**64
+        np.cumsum(terms >> _HALF, out=high[1:])
+        np.cumsum(terms & _LOW, out=low[1:])
+        self.sums = _reduced(((high & (_LOW >> np.uint64(1))) << _HALF) + (high >> np.uint64(30)) + low)
+
+    def _of(self, first: np.ndarray, last: np.ndarray, back: np.ndarray) -> np.ndarray:
+        return mix(_product(_reduced(last + PRIME - first), back))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        return self._of(self.sums[starts], self.sums[ends], self.back[starts])
 
     def all(self, k: int) -> np.ndarray:
         """Of each run of k words, by its start."""
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
+        return self._of(self.sums[:n], self.sums[k:], self.back[:n])
 
 
 def owner(bounds: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ such a cut, so the ids of the chunks laid end to end are those of the whole text
 special token's string may occur, texts are cut at white space only.
 
 Each worker process keeps the ids of chunks, up to a bounded number, in flat arrays: a chunk is
-found by a 64-bit hash and confirmed by a second one. New chunks that begin with white space are
+found by a 64-bit hash and confirmed by its bytes. New chunks that begin with white space are
 encoded many at a time, as one text, and told apart by their tokens.
 """
 
@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .textbatch import GRAM_BASE, LOWER, span_hashes
+from .textbatch import LOWER, span_hashes
 
 CACHE_CHUNKS = 1_000_000
 TOKEN_SLICE = 4 << 20
@@ -96,7 +96,9 @@ class ChunkedTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.checks, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        #: The kept chunks' bytes, end to end by slot.
+        self.bytes, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
@@ -128,19 +130,22 @@ class ChunkedTokenizer:
             raise ValueError("a token crosses a chunk's end")
         return ids, np.diff(np.concatenate(([0], at + 1)))
 
-    def _learn(self, new: pa.LargeStringArray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    def _learn(self, new: pa.LargeStringArray, keys: np.ndarray) -> np.ndarray:
         """Encodes and keeps the chunks, told by ascending keys; the slot of each."""
         data, where = _flat(new)
         joined = self._joinable(data, where)
         order = np.concatenate((np.flatnonzero(joined), np.flatnonzero(~joined)))
         many = int(joined.sum())
-        data, where = _flat(new.take(pa.array(order[:many])))
+        taken = new.take(pa.array(order))
+        held, bounds = _flat(taken)
+        self.bytes, self.ends = np.concatenate((self.bytes, held)), np.concatenate((self.ends, self.ends[-1] + bounds[1:]))
+        data, where = _flat(taken.slice(0, many))
         parts, lengths = [], []
         for i in range(0, many, TOGETHER):
             ids, length = self._together(data, where[i : i + TOGETHER + 1])
             parts.append(ids)
             lengths.append(length)
-        rest = new.take(pa.array(order[many:])).to_pylist()
+        rest = taken.slice(many).to_pylist()
         # the library's encodings take far more room than their ids, so only so many live at once
         for i in range(0, len(rest), TOGETHER):
             each = [e.ids for e in self.library.encode_batch_fast(rest[i : i + TOGETHER], add_special_tokens=False)]
@@ -153,32 +158,42 @@ class ChunkedTokenizer:
         self.length = np.concatenate((self.length, length.astype(np.int32)))
         self.pool = np.concatenate((self.pool, *parts))
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.checks, self.slots = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks), np.insert(self.slots, at, slots)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
         return slots
 
+    def _same(self, data: np.ndarray, where: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which chunks are, byte for byte, those of the slots."""
+        sizes = np.diff(where)
+        same = sizes == self.ends[slots + 1] - self.ends[slots]
+        some = np.flatnonzero(same)
+        sizes = sizes[some]
+        firsts = np.cumsum(sizes) - sizes
+        run = np.arange(sizes.sum()) - np.repeat(firsts, sizes)
+        differ = data[run + np.repeat(where[some], sizes)] != self.bytes[run + np.repeat(self.ends[slots[some]], sizes)]
+        # a chunk is never empty
+        same[some] = ~np.logical_or.reduceat(differ, firsts) if len(some) else same[some]
+        return same
+
     def _found(self, distinct: pa.LargeStringArray) -> np.ndarray:
-        """The slots of distinct chunks, learnt where they are new."""
+        """The slots of distinct chunks, learnt where they are new; of chunks with one key, all but the first are learnt each time."""
         data, where = _flat(distinct)
         keys = span_hashes(data, where[:-1], where[1:])
-        order = np.argsort(keys)
-        keys, checks = keys[order], span_hashes(data, where[:-1], where[1:], GRAM_BASE)[order]
-        slots = np.zeros(len(keys), np.int32)
-        new = np.ones(len(keys), bool)
+        slots, new = np.zeros(len(keys), np.int32), np.ones(len(keys), bool)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            new = (self.keys[at] != keys) | (self.checks[at] != checks)
             slots = self.slots[at]
+            new = (self.keys[at] != keys) | ~self._same(data, where, slots)
         if new.any():
-            slots[new] = self._learn(distinct.take(pa.array(order[new])), keys[new], checks[new])
-        out = np.empty(len(keys), np.int32)
-        out[order] = slots
-        return out
+            order = np.flatnonzero(new)
+            order = order[np.argsort(keys[order])]
+            slots[order] = self._learn(distinct.take(pa.array(order)), keys[order])
+        return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, and each text's bounds among them."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.start) > self.cache_chunks or len(self.pool) > 8 * self.cache_chunks:
+        if len(self.start) > self.cache_chunks or len(self.pool) > 8 * self.cache_chunks or len(self.bytes) > 32 * self.cache_chunks:
             self._forget()
         cuts = chunks(data, offsets)
         if self.word_end is not None:
