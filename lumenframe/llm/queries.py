@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
 from .line_dedup import op10_line_dedup
+from .merkle import op13_merkle_manifest
 from .ngram_join import op2_ngram_jaccard
 from .packing import op7_best_fit_packing
 from .quality_cnn import op6_quality_classifier
@@ -13,10 +14,12 @@ from .substring_dedup import op3_substring_dedup
 from .token_store import op5_token_store
 from .warc import op4_warc_convert
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op3_substring_dedup, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op3_substring_dedup, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup, op13_merkle_manifest)}
 
 #: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: A part of a leaf: `-`, or the number of UTF-8 bytes, a colon and the value.
+_PART = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0}, '-')"
 
 ORACLE: dict[str, str] = {
     "op4_warc_convert": """
@@ -65,4 +68,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_gone >= n_words * 0.3 AS kept
 FROM counts""",
+    "op13_merkle_manifest": rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, *,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS inverse
+  FROM documents),
+text AS (SELECT *, CASE WHEN (4294967295 - inverse) % 5 = 0 THEN {_LOWER.format("text")} ELSE text END AS low FROM docs),
+head AS (
+  SELECT *, {_PART.format("doc_id")} || {_PART.format("source")} || {_PART.format("lang")} || {_PART.format("n_chars")} AS head FROM text),
+leaves AS (SELECT r, doc_id, source, sha256(head || {_PART.format("text")}) AS leaf, sha256(head || {_PART.format("low")}) AS told FROM head),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+levels(source, lvl, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY place) FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, lvl + 1, list_transform(range(0, (len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[i * 16 + 1 : i * 16 + 16], '')))
+  FROM levels WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM levels WHERE len(nodes) = 1),
+tops(lvl, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, (len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[i * 16 + 1 : i * 16 + 16], '')))
+  FROM tops WHERE len(nodes) > 1),
+stations AS (
+  SELECT r, lvl, nodes, CAST(p.place // CAST(pow(16, lvl) AS BIGINT) AS BIGINT) AS spot FROM placed p JOIN levels l ON l.source IS NOT DISTINCT FROM p.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT r, 100 + lvl, nodes, CAST(s.place // CAST(pow(16, lvl) AS BIGINT) AS BIGINT)
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source, tops WHERE len(nodes) > 1),
+steps AS (
+  SELECT r, lvl, array_to_string(nodes[spot - spot % 16 + 1 : spot], '') AS a, array_to_string(nodes[spot + 2 : spot - spot % 16 + 16], '') AS b FROM stations),
+paths AS (SELECT r, list({{'a': a, 'b': b}} ORDER BY lvl) AS path FROM steps GROUP BY r),
+joined AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root,
+    coalesce(array_to_string(list_transform(path, lambda x: x.a || x.b), ''), '') AS siblings,
+    list_reduce(list_prepend({{'a': p.told, 'b': ''}}, coalesce(path, [])), lambda y, x: {{'a': sha256(x.a || y.a || x.b), 'b': ''}}).a AS folded_root
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN paths USING (r))
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM joined""",
 }
