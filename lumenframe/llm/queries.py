@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .licenses import NOTICES, PHRASES, op12_license_scan, pieces
 from .line_dedup import op10_line_dedup
 from .merkle import op13_merkle_manifest
 from .ngram_join import op2_ngram_jaccard
@@ -14,7 +15,7 @@ from .substring_dedup import op3_substring_dedup
 from .token_store import op5_token_store
 from .warc import op4_warc_convert
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op3_substring_dedup, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op3_substring_dedup, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup, op12_license_scan, op13_merkle_manifest)}
 
 #: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -104,4 +105,27 @@ joined AS (
     list_reduce(list_prepend({{'a': p.told, 'b': ''}}, coalesce(path, [])), lambda y, x: {{'a': sha256(x.a || y.a || x.b), 'b': ''}}).a AS folded_root
   FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN paths USING (r))
 SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM joined""",
+    "op12_license_scan": rf"""
+WITH phrases(words, label) AS (VALUES {", ".join(f"(string_split('{p}', ' '), '{label}')" for p, label in PHRASES)}),
+notices(notice, label, edits, pieces) AS (VALUES {", ".join(f"('{n}', '{label}', {e}, {[x for _, x in pieces(n, e)]})" for n, label, e in NOTICES)}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tokens AS (SELECT r, w, unnest(range(len(w))) AS i FROM docs),
+places AS (SELECT r, i, label FROM tokens JOIN phrases p ON w[i + 1] = p.words[1] AND w[i + 1 : i + len(p.words)] = p.words),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r),
+-- a notice is ASCII, so any other character counts as one that differs
+hopeful AS (
+  SELECT r, w, notice, label, edits
+  FROM (SELECT r, w, regexp_replace(array_to_string(w, ' '), '[^\x00-\x7F]', '~', 'g') AS flat FROM docs) JOIN notices n ON len(list_filter(n.pieces, lambda p: contains(flat, p))) > 0),
+starts AS (SELECT *, unnest(range(len(w))) AS i FROM hopeful),
+runs AS (
+  SELECT r, notice, label, edits, regexp_replace(array_to_string(w[i + 1 : i + n], ' '), '[^\x00-\x7F]', '~', 'g') AS run
+  FROM starts, range(1, 22) lengths(n)
+  WHERE i + n <= len(w) AND abs(n - len(string_split(notice, ' '))) <= edits),
+near AS (SELECT r, label, 1 - levenshtein(run, notice) / length(notice) AS likeness FROM runs WHERE abs(length(run) - length(notice)) <= edits AND levenshtein(run, notice) <= edits),
+fuzzy AS (SELECT r, list(DISTINCT label) AS labels, max(likeness) AS likeness FROM near GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(likeness, 0.0) END AS score
+FROM docs LEFT JOIN base b USING (r) LEFT JOIN fuzzy f USING (r)""",
 }
