@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import op11_phrase_collocations
 from .decontaminate import op1_decontaminate
 from .licenses import NOTICES, PHRASES, op12_license_scan, pieces
 from .line_dedup import op10_line_dedup
@@ -15,7 +16,7 @@ from .substring_dedup import op3_substring_dedup
 from .token_store import op5_token_store
 from .warc import op4_warc_convert
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op3_substring_dedup, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup, op12_license_scan, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op3_substring_dedup, op4_warc_convert, op5_token_store, op6_quality_classifier, op7_best_fit_packing, op8_quality_rules, op9_secret_scan, op10_line_dedup, op11_phrase_collocations, op12_license_scan, op13_merkle_manifest)}
 
 #: Lower-cases A-Z alone, as DuckDB's lower() would change other letters too.
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,4 +129,27 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(likeness, 0.0) END AS score
 FROM docs LEFT JOIN base b USING (r) LEFT JOIN fuzzy f USING (r)""",
+    "op11_phrase_collocations": rf"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+tokens AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+counts AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM tokens, range(1, 6) orders(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+several AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+parts AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM several, range(2, 5) sizes(m), range(1, 5) starts(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT s.* FROM several s LEFT JOIN parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * f),
+cuts AS (
+  SELECT lang, phrase, f AS a, c, array_to_string(w[1 : c], ' ') AS head, array_to_string(w[c + 1 : k], ' ') AS rest FROM kept, range(1, 5) cuts(c) WHERE c < k),
+scored AS (
+  SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score, c
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = rest JOIN totals t ON t.lang = c.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
