@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import evaluation, inventory, more, pixels, relational, retrieval, text  # noqa: F401
+from lumenframe.plans import approximate, evaluation, fits, inventory, more, pixels, relational, retrieval, text  # noqa: F401
 from lumenframe.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "sel2_top_per_scene_best_fit"

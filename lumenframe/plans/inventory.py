@@ -10,7 +10,7 @@ from lumenframe.functions.vectors import cosine_distance, standardised
 from lumenframe.operators.kept import kept
 from lumenframe.operators.upsert import deleted, improved, latest
 from lumenframe.plans.registry import query
-from lumenframe.plans.relational import placed, quantiles
+from lumenframe.plans.relational import numbered, placed, quantiles
 from lumenframe.plans.retrieval import _BATCH_SQL, neighbours
 from lumenframe.plans.tables import EDITS_SQL, PHOTOS_SQL, edits, photos, table
 from lumenframe.plans.text import _CURVE_OFF, _recipes
@@ -202,7 +202,8 @@ SELECT count(*) AS chosen, count(*) FILTER (expert % 2 = 0) AS replaced, round(s
 def o4_second_pass(spark, d):
     """The worst twentieth is fitted anew; the better fit of each stays, the stored one in a tie."""
     e = edits(spark, d).select("edit", "photo", "expert", "fit_error")
-    worst = kept(e.orderBy(F.col("fit_error").desc(), "edit", "photo").limit(max(1, int(e.count() * 0.05))).withColumn("row", F.monotonically_increasing_id()), "worst")
+    placed = numbered(e.withColumn("order", F.struct((-F.col("fit_error")).alias("e"), "edit", "photo")), "order")
+    worst = kept(placed.where(F.col("i") < max(1, int(e.count() * 0.05))).withColumnRenamed("i", "row").drop("order"), "worst")
     again = worst.withColumn("fit_error", F.when(F.col("expert") % 2 == 0, F.col("fit_error") * 0.9).otherwise(F.col("fit_error") * 1.1))
     best = improved(worst, again, "row", "fit_error").withColumnRenamed("fit_error", "best")
     both = worst.join(best.select("row", "best"), "row")

@@ -52,13 +52,17 @@ def t2_knn_batch(spark, sf_dir):
     return neighbours(spark, sf_dir).select("query", "photo", F.round("distance", 6).alias("distance"))
 
 
-def pool(spark, sf_dir) -> DataFrame:
-    """Each query's neighbours joined to their usable edits; an edit id found twice counts once, with its smallest error."""
+def joined_pool(spark, sf_dir, near: DataFrame) -> DataFrame:
+    """The usable edits of each query's neighbours; an edit id found twice counts once, with its smallest error."""
     e = edits(spark, sf_dir).where(~F.col("excluded") & F.col("fingerprint").isNotNull())
     one = e.groupBy("photo", "edit").agg(F.min_by("fingerprint", F.struct("fit_error", "fingerprint")).alias("fingerprint"), F.min("fit_error").alias("fit_error"))
-    near = neighbours(spark, sf_dir).select("query", "photo", "distance")
     # the query set is stated and K bounds its neighbours, so rows follow the queries; no hint: Spark decides by size
-    return one.join(near, "photo").groupBy("query", "edit").agg(F.min_by(F.struct("photo", "distance", "fit_error", "fingerprint"), F.struct("distance", "photo", "fit_error")).alias("x")).select("query", "edit", "x.*")
+    joined = one.join(near.select("query", "photo", "distance"), "photo")
+    return joined.groupBy("query", "edit").agg(F.min_by(F.struct("photo", "distance", "fit_error", "fingerprint"), F.struct("distance", "photo", "fit_error")).alias("x")).select("query", "edit", "x.*")
+
+
+def pool(spark, sf_dir) -> DataFrame:
+    return joined_pool(spark, sf_dir, neighbours(spark, sf_dir))
 
 
 _POOL_SQL = f"""{_BATCH_SQL}, {EDITS_SQL},
