@@ -8,21 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def distribution(c: str | Column, prefix: str, digits: int = 6) -> list[Column]:
-    """count, p10, median, mean, p90, min and max of what isn't null, percentiles interpolated."""
-    c = F.col(c) if isinstance(c, str) else c
-    cut = lambda q: F.round(F.percentile(c, F.lit(q)), digits)
-    return [
-        F.count(c).alias(f"{prefix}_count"),
-        cut(0.1).alias(f"{prefix}_p10"),
-        cut(0.5).alias(f"{prefix}_median"),
-        F.round(F.avg(c), digits).alias(f"{prefix}_mean"),
-        cut(0.9).alias(f"{prefix}_p90"),
-        F.round(F.min(c), digits).alias(f"{prefix}_min"),
-        F.round(F.max(c), digits).alias(f"{prefix}_max"),
-    ]
-
-
 def index_place(n: Column, q: float) -> Column:
     """The 0-based place of the index percentile: floor(n * q), the last at most. It never interpolates."""
     return F.least(n - 1, F.floor(n * F.lit(q)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import ivf, knn, selection
 from lumenframe.plans.registry import query
-from lumenframe.plans.relational import quantiles
+from lumenframe.operators.ranking import quantiles
 from lumenframe.plans.retrieval import QUERIES_EVERY, joined_pool
 from lumenframe.plans.tables import EDITS_SQL, PHOTOS_SQL, photos
 

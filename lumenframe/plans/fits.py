@@ -9,7 +9,7 @@ from lumenframe.functions.recipes import components
 from lumenframe.operators import recipe_fit
 from lumenframe.operators.kept import kept
 from lumenframe.plans.registry import query
-from lumenframe.plans.relational import numbered
+from lumenframe.operators.ranking import numbered
 from lumenframe.plans.tables import pixels, table
 
 #: Rounds of the registered fits: enough for the order of the errors; recipe_fit.fit has more by default.

@@ -10,7 +10,7 @@ from lumenframe.functions.vectors import cosine_distance, standardised
 from lumenframe.operators.kept import kept
 from lumenframe.operators.upsert import deleted, improved, latest
 from lumenframe.plans.registry import query
-from lumenframe.plans.relational import numbered, placed, quantiles
+from lumenframe.operators.ranking import numbered, placed, quantiles
 from lumenframe.plans.retrieval import _BATCH_SQL, neighbours
 from lumenframe.plans.tables import EDITS_SQL, PHOTOS_SQL, edits, photos, table
 from lumenframe.plans.text import _CURVE_OFF, _recipes

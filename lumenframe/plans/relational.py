@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.ranking import numbered, placed, quantiles
 from lumenframe.operators.upsert import deleted, improved, latest, pending, upserted
-from lumenframe.operators.kept import kept
 from lumenframe.plans.registry import query
 from lumenframe.plans.tables import EDITS_SQL, edits, table
 
@@ -178,34 +178,6 @@ def w13_global_stride(spark, d):
     return numbered(c, "k").where("i % 7 = 0 and i < 700").select("k")
 
 
-def numbered(rows, key):
-    """rows with i, their 0-based place by key: ranges, places inside each, and the counts before it."""
-    # written first: a range exchange that is evaluated twice may cut its ranges elsewhere
-    parts = kept(rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
-    inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_lo")) - F.col("_n")).alias("_b"))
-    # one row for each range
-    return inside.join(F.broadcast(before), "_p").withColumn("i", F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
-
-
-def placed(rows, group, value):
-    """rows with i, their 0-based place by value in their group, and n, its rows: places over all rows by (group, value), less the group's first, so no task holds a whole group."""
-    every = numbered(rows.withColumn("_gv", F.struct(group, value)), "_gv").drop("_gv")
-    groups = every.groupBy(F.col(group).alias("_g")).agg(F.min("i").alias("_first"), F.count("*").alias("n"))
-    return every.join(groups, F.col(group).eqNullSafe(F.col("_g"))).withColumn("i", F.col("i") - F.col("_first")).drop("_g", "_first")
-
-
-def quantiles(rows, group, value, cuts):
-    """One row of each group: the interpolated quantiles of value (nulls don't count) under the names of cuts."""
-    r = placed(rows.where(F.col(value).isNotNull()).select(group, value), group, value)
-    spots = {name: (F.col("n") - 1) * F.lit(q) for name, q in cuts.items()}
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col(value)))
-    out = r.groupBy(group, "n").agg(*[at(f(s)).alias(f"{side}_{name}") for name, s in spots.items() for side, f in (("lo", F.floor), ("hi", F.ceil))])
-    between = lambda name, s: F.col(f"lo_{name}") + (F.col(f"hi_{name}") - F.col(f"lo_{name}")) * (s - F.floor(s))
-    return out.select(group, *[between(name, s).alias(name) for name, s in spots.items()])
-
-
 @query("""WITH r AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer),
 s AS (SELECT n, CASE WHEN n % 2999 = 0 THEN 2971 ELSE 2999 END AS step FROM r LIMIT 1)
 SELECT o.i AS place, r.k FROM range((SELECT count(*) FROM customer)) o(i) JOIN s ON o.i < s.n JOIN r ON r.i = (o.i * s.step) % s.n""")
