@@ -46,6 +46,8 @@ CODES = 6_000_000
 BLOCK_CHARS = 6_000_000
 #: Counted phrases up to which their table is broadcast to look up parts.
 BROADCAST_PHRASES = 300_000
+#: Splits of the documents that one task reads, where there are enough for all cores twice over: partial counts then meet before they are shuffled.
+SPLITS = 4
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -296,6 +298,7 @@ def collocations(docs: DataFrame, lang: str = "lang", least: int = 100, top: int
     """
     prepared(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), "text")
+    docs = docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // SPLITS))
     counts = count_phrases(docs, candidates(docs, least, cells), block_chars)
     totals = F.broadcast(counts.where("phrase is null").select("lang", F.col("f").alias("n")))  # a row for each language
     often = counts.where((F.col("f") >= least) & F.col("phrase").isNotNull()).withColumn("w", F.split("phrase", " "))
