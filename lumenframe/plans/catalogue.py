@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import approximate, arms, evaluation, fits, inventory, more, pixels, relational, renditions, retrieval, text  # noqa: F401
+from lumenframe.plans import approximate, arms, evaluation, fits, inventory, more, pixels, relational, renditions, retrieval, studies, text  # noqa: F401
 from lumenframe.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "sel2_top_per_scene_best_fit"

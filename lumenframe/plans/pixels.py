@@ -141,7 +141,9 @@ def p12_lab(spark, sf_dir):
     return d.select("image", "place", F.round("x_L", 5).alias("l"), F.round("x_a", 5).alias("a"), F.round("x_b", 5).alias("b"))
 
 
-_PAIR = f"""{PIXELS_SQL}, {_lab_sql('pixels', '')}, {_lab_sql('lab', '2')},
+def pair_sql(source, name="pixels"):
+    """CTEs up to de (image, place, de), from the last table of source."""
+    return f"""{source}, {_lab_sql(name, '')}, {_lab_sql('lab', '2')},
 d0 AS (SELECT *, (sqrt(aa * aa + bb * bb) + sqrt(aa2 * aa2 + bb2 * bb2)) / 2 AS cm FROM lab2),
 d1 AS (SELECT *, 1 + 0.5 * (1 - sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25.0, 7)))) AS g1 FROM d0),
 d2 AS (SELECT *, sqrt(pow(aa * g1, 2) + bb * bb) AS c1, sqrt(pow(aa2 * g1, 2) + bb2 * bb2) AS c2, degrees(atan2(bb, aa * g1)) AS t1, degrees(atan2(bb2, aa2 * g1)) AS t2 FROM d1),
@@ -154,6 +156,9 @@ d6 AS (SELECT *, (la2 - la) / (1 + 0.015 * pow(lm - 50, 2) / sqrt(20 + pow(lm -
 de AS (SELECT image, place, sqrt(u * u + v * v + w * w + rt * v * w) AS de FROM d6)"""
 
 
+_PAIR = pair_sql(PIXELS_SQL)
+
+
 def _pairs(spark, sf_dir):
     d = colour.with_lab(colour.with_lab(pixels(spark, sf_dir), ("r", "g", "b"), "x"), ("r2", "g2", "b2"), "y")
     return colour.with_ciede2000(d, "x", "y", "de").select("image", "place", "de")

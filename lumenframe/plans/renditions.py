@@ -15,14 +15,14 @@ from lumenframe.streaming.durable import Ledger, outcomes
 WIDTH, SIZES = 24, (7, 16)
 
 
-def _image_rows(spark, d):
+def image_rows(spark, d):
     """Pixels of an image in the order of their places, row by row; the last row may be short."""
     p = pixels(spark, d).select("image", "r", "g", "b", F.struct("place", "r", "g", "b").alias("order"))
     rows = placed(p, "image", "order")
     return rows.select("image", (F.col("i") % WIDTH).cast("int").alias("x"), F.expr(f"cast(i div {WIDTH} as int)").alias("y"), F.lit(WIDTH).alias("width"), F.expr(f"cast((n + {WIDTH - 1}) div {WIDTH} as int)").alias("height"), "r", "g", "b")
 
 
-_ROWS_SQL = f"""{PIXELS_SQL},
+ROWS_SQL = f"""{PIXELS_SQL},
 placed AS (SELECT image, r, g, b, row_number() OVER (PARTITION BY image ORDER BY place, r, g, b) - 1 AS i, count(*) OVER (PARTITION BY image) AS n FROM pixels),
 rows AS (SELECT image, i % {WIDTH} AS x, i // {WIDTH} AS y, {WIDTH} AS width, (n + {WIDTH - 1}) // {WIDTH} AS height, r, g, b FROM placed)"""
 _DECODE = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92 ELSE pow(({0} + 0.055) / 1.055, 2.4) END"
@@ -30,13 +30,13 @@ _ENCODE = "round(greatest(0.0, least(1.0, CASE WHEN {0} <= 0.0031308 THEN {0} *
 _FIT = "CASE WHEN longest >= greatest(width, height) THEN {0} ELSE greatest(1, CAST(round_even({0} * (longest::DOUBLE / greatest(width, height)), 0) AS BIGINT)) END"
 
 
-@query(f"""WITH {_ROWS_SQL}, light AS (SELECT image, x, y, width, height, {", ".join(f"{_DECODE.format(c)} AS {c}" for c in "rgb")} FROM rows),
+@query(f"""WITH {ROWS_SQL}, light AS (SELECT image, x, y, width, height, {", ".join(f"{_DECODE.format(c)} AS {c}" for c in "rgb")} FROM rows),
 sized AS (SELECT *, {_FIT.format("width")} AS w, {_FIT.format("height")} AS h FROM light, (SELECT unnest({list(SIZES)}) AS longest)),
 cells AS (SELECT image, longest, ((x + 1) * w - 1) // width AS x, ((y + 1) * h - 1) // height AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM sized GROUP BY image, longest, 3, 4)
 SELECT image, longest, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, {", ".join(f"{_ENCODE.format(c)} AS {c}" for c in "rgb")} FROM cells""")
 def p16_two_sizes(spark, d):
     """Both smaller sizes of every image, by area means along both axes in linear light, from one pass."""
-    out = derivatives.derivatives(derivatives.linear(_image_rows(spark, d), prophoto=False), SIZES)
+    out = derivatives.derivatives(derivatives.linear(image_rows(spark, d), prophoto=False), SIZES)
     return out.select("image", "longest", "x", "y", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
