@@ -14,8 +14,10 @@ def settings_map(text: Column) -> Column:
     """All settings of a text as a map; of a repeated key the last value holds."""
     keys, values = F.regexp_extract_all(text, F.lit(SETTING), F.lit(1)), F.regexp_extract_all(text, F.lit(SETTING), F.lit(2))
     pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i")))
-    last = F.filter(pairs, lambda x: ~F.exists(pairs, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+    last = lambda all_pairs: F.filter(all_pairs, lambda x: ~F.exists(all_pairs, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
+    # bound as a lambda's argument, so that the patterns run once for each text and not for each pair
+    kept = F.get(F.transform(F.array(pairs), last), F.lit(0))
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
 
 
 def unquoted(value: Column) -> Column:
