@@ -5,8 +5,9 @@ brute-force spans; dynamic programming finds the segmentation with the fewest gu
 at or above the limit look made by a machine and become spans of the kind "guess"; cheap ones
 (placeholders, dictionary words with a year) are left to the fixed patterns.
 
-The dictionary is the collection's own: its most frequent words by their number in all texts
-(`frequent_words`), after a short fixed list of words that passwords are made of. A word's rank is
+The dictionary is the collection's own: its most frequent words by their number in all texts, but
+for those that stand in values after credential words only, so that a secret isn't learned from its
+copies (`frequent_words`), after a short fixed list of words that passwords are made of. A word's rank is
 what it costs, so plain prose after "password is" is cheap.
 
 Texts are screened by fast byte searches first, which let every possible match through.
@@ -168,13 +169,37 @@ def _long_hex(data: np.ndarray, offsets: np.ndarray, least: int = 24) -> np.ndar
     return np.unique(np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])) if len(starts) else np.zeros(0, int)
 
 
+def _cued(low: bytes, offsets: np.ndarray, cues: list[bytes]) -> set[int]:
+    """The texts that hold one of the cues."""
+    some, where = set(), offsets.tolist()
+    for cue in cues:
+        at = low.find(cue)
+        while at >= 0:
+            text = int(np.searchsorted(offsets, at, "right")) - 1
+            some.add(text)
+            at = low.find(cue, where[text + 1])
+    return some
+
+
+def _in_values(raw: bytes, low: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes lie in a value after a credential word."""
+    inside = np.zeros(len(raw), bool)
+    for d in _cued(low, offsets, list(CUES)):
+        start = int(offsets[d])
+        # one character for each byte; the pattern tells ASCII alone apart
+        for m in CONTEXT.finditer(raw[start : int(offsets[d + 1])].decode("latin-1")):
+            inside[start + m.start(1) : start + m.end(1)] = True
+    return inside
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of ASCII letters, lower-cased, with their number in the batch."""
+    """Words of ASCII letters, lower-cased, with their number in the batch and how many of them stand outside values of credentials."""
     letters = np.zeros(256, bool)
     letters[97:123] = True
     for batch in batches:
         for _, _, data, offsets in slices(batch):
-            data = LOWER[data]
+            raw, data = data.tobytes(), LOWER[data]
+            inside = _in_values(raw, data.tobytes(), offsets)
             starts, ends, _ = words(data, offsets, ALNUM)
             plain = np.concatenate(([0], np.cumsum(letters[data])))
             size = ends - starts
@@ -184,14 +209,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not fit.any():
                 continue
             column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-            counts = column.take(pa.array(2 * np.flatnonzero(fit))).value_counts()
-            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.large_string()).cast(pa.string()), counts.field("counts")], ["word", "n"])
+            for chosen, counted, sign in ((fit, 1, 1), (fit & inside[starts], 0, -1)):
+                if chosen.any():
+                    counts = column.take(pa.array(2 * np.flatnonzero(chosen))).value_counts()
+                    n = counts.field("counts").to_numpy()
+                    yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.large_string()).cast(pa.string()), pa.array(n * counted), pa.array(n * sign)], ["word", "n", "outside"])
 
 
 def frequent_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_COUNT) -> list[str]:
-    """The most frequent words of all texts, at most so many, those of equal number in order of their letters."""
+    """The most frequent words of all texts that stand outside values of credentials too, at most so many, those of equal number in order of their letters."""
     prepared(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(released(_count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = docs.select("text").mapInArrow(released(_count), "word string, n long, outside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
+    counts = counts.where((F.col("n") >= least) & (F.col("outside") > 0))
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -204,18 +233,7 @@ def _scan(limit: float, dictionary):
             for row, end, data, offsets in slices(batch):
                 raw, where = data.tobytes(), offsets.tolist()
                 low = raw.lower()
-                some = set(_long_hex(data, offsets).tolist())
-                for cue in cues:
-                    at = low.find(cue)
-                    while at >= 0:
-                        text = int(np.searchsorted(offsets, at, "right")) - 1
-                        some.add(text)
-                        at = low.find(cue, where[text + 1])
-                at = raw.find(b"AKIA")
-                while at >= 0:
-                    text = int(np.searchsorted(offsets, at, "right")) - 1
-                    some.add(text)
-                    at = raw.find(b"AKIA", where[text + 1])
+                some = {*_long_hex(data, offsets).tolist(), *_cued(low, offsets, cues), *_cued(raw, offsets, [b"AKIA"])}
                 found = [spans_of(raw[where[d] : where[d + 1]].decode(), limit, rank) if d in some else [] for d in range(end - row)]
                 rows = [[{"kind": k, "start": s, "end": e} for s, k, e in x] for x in found]
                 yield pa.RecordBatch.from_arrays(

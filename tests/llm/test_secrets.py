@@ -127,3 +127,15 @@ def test_cost_under_a_limit():
         guess_cost(value, 9.0)
     assert guess_cost("x" * 50_000, 9.0) < 7
     assert time.process_time() - began < 60
+
+
+def test_copied_secrets_are_not_learned(spark):
+    """A value costs the same in one document as in its copies; words that texts use elsewhere are still learned, letters beyond ASCII beside them."""
+    of = lambda texts: [[(x.kind, x.start, x.end) for x in r.spans] for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    text = "é my PassPhrase is qzxjvkwpyd, and"
+    once = of([text])
+    assert once == [[("guess", 19, 29)]]
+    assert of([text] * 50) == once * 50 and of([text * 9, "", None])[0][0] == once[0][0]
+    words = spark.createDataFrame([("ü token: florkitude florkitude\nflorkitude",), ("florkitude é",), ("secret = quuxible",), ("pwd: quuxible",), ("passcode -> quuxible",), (None,)], "text string")
+    learned = secrets.frequent_words(words)
+    assert learned == ["florkitude"] and of(["a florkitude"] * 3 + ["the passphrase is florkitude"])[3] == []
