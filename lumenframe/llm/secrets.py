@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.ranking import numbered
+
 from .cluster import prepared, released
 from .textbatch import ALNUM, LOWER, slices, words
 
@@ -221,7 +223,10 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_C
     prepared(docs.sparkSession)
     counts = docs.select("text").mapInArrow(released(_count), "word string, n long, outside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
     counts = counts.where((F.col("n") >= least) & (F.col("outside") > 0))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    # places over ranges: a sort with a limit would send so many words from each task
+    ranked = numbered(counts.select("word", F.struct((-F.col("n")).alias("n"), "word").alias("order")), "order")
+    first = ranked.where(F.col("i") < most).select("i", "word").collect()
+    return [r.word for r in sorted(first)]
 
 
 def _scan(limit: float, dictionary):
