@@ -17,7 +17,9 @@ document are joined when words are removed.
 Anchors are first counted (with partial sums, so copies meet only as counts), and Bloom filters
 of bounded size tell the second reading which stretches may be shared; only those are shuffled.
 Of an anchor that holds too many rows for a block, whole stretches are known duplicates at once
-where they all read the same; otherwise its windows become blocks of their own and are counted.
+where they all read the same; otherwise its windows become blocks of their own and are counted:
+each differing stretch once, with the number of its copies as weight, so that copies meet before
+their windows do, and the repeated windows come back to each copy as runs, one row for a stretch.
 
 Windows are told by 64-bit hashes, within their anchor's 64.
 
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import hot_limit, packed, prepared, released, semi_by_counts, shared_folder, unpacked, written
+from .cluster import hot_limit, join_by_counts, packed, prepared, released, semi_by_counts, shared_folder, unpacked, written
 from .textbatch import NOT_SPACE, Grams, list_array, mix, slices, span_hashes, texts_of, words
 
 WINDOW, ANCHOR = 35, 12
@@ -185,7 +187,7 @@ class Routes:
         return route, differ
 
 
-_SHARED = "doc_id {id}, copy long, key long, first int, count int, windows array<long>, route int"
+_SHARED = "doc_id {id}, copy long, key long, content long, first int, count int, windows array<long>, route int"
 _SPANS = "doc_id {id}, copy long, first int, count int"
 
 
@@ -206,8 +208,8 @@ def _share(window: int, k: int, routes):
                 text = found.text[some]
                 doc = pa.array(row + text)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(doc), batch.column("copy").take(doc), pa.array(found.key[some].view(np.int64)), pa.array(found.first[some] - found.bounds[text], pa.int32()), pa.array(found.count[some], pa.int32()), list_array(pa.array(hashes), size), pa.array(route[some], pa.int32())],
-                    ["doc_id", "copy", "key", "first", "count", "windows", "route"],
+                    [batch.column("doc_id").take(doc), batch.column("copy").take(doc), pa.array(found.key[some].view(np.int64)), pa.array(found.content[some].view(np.int64)), pa.array(found.first[some] - found.bounds[text], pa.int32()), pa.array(found.count[some], pa.int32()), list_array(pa.array(hashes), size), pa.array(route[some], pa.int32())],
+                    ["doc_id", "copy", "key", "content", "first", "count", "windows", "route"],
                 )
 
     return run
@@ -337,6 +339,20 @@ def _one(column: pa.ChunkedArray, kind) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], kind)
 
 
+def _wide(placed: DataFrame, least: int) -> DataFrame:
+    """doc_id, copy, first, count: runs of repeated windows in stretches of anchors that are too wide for a block."""
+    read = written(placed.groupBy("key", "content").agg(F.count("*").alias("n"), F.any_value("windows").alias("windows")), "read")
+    each = read.select("key", "content", F.col("n").alias("copies"), F.posexplode("windows").alias("i", "w"))
+    again = written(each.groupBy("key", "w").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 1").select("key", "w", "n"), "again")
+    places = semi_by_counts(each, again, ["key", "w"], least).groupBy("key", "content", F.col("copies").alias("n")).agg(F.collect_list("i").alias("x"))
+    # a stretch has no more windows than lie around one anchor, so x is short
+    first = F.array_sort(F.filter("x", lambda i: ~F.array_contains("x", i - 1)))
+    last = F.array_sort(F.filter("x", lambda i: ~F.array_contains("x", i + 1)))
+    runs = written(places.select("key", "content", "n", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b - a + 1).alias("count"))).alias("runs")), "runs")
+    rows = join_by_counts(placed.select("doc_id", "copy", "key", "content", "first"), runs, ["key", "content"], least=least)
+    return rows.select("doc_id", "copy", "first", F.explode("runs").alias("r")).select("doc_id", "copy", (F.col("first") + F.col("r.a")).alias("first"), F.col("r.count").alias("count"))
+
+
 def factors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wide: int = WIDE) -> DataFrame:
     """doc_id, copy (hash of the text), spans array<struct<first, count>>: windows found elsewhere too, by first word and number."""
     spark = prepared(docs.sparkSession)
@@ -358,10 +374,7 @@ def factors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wide: int =
     parsed = dealt.mapInArrow(released(_parse(_arrow(kind))), _SPANS.format(id=simple))
     found = whole.unionByName(parsed)
     if sizes[3]:
-        each = placed.where(F.col("route") == SINGLE).select("doc_id", "copy", "first", "key", F.posexplode("windows").alias("i", "w"))
-        each = written(each.select("doc_id", "copy", (F.col("first") + F.col("i")).alias("first"), "key", "w"), "windows")
-        again = written(each.groupBy("key", "w").agg(F.count("*").alias("n")).where("n > 1"), "again")
-        found = found.unionByName(semi_by_counts(each, again, ["key", "w"], wide).select("doc_id", "copy", "first", F.lit(1).alias("count")))
+        found = found.unionByName(_wide(placed.where(F.col("route") == SINGLE), wide))
     return found.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("first", "count"))).alias("spans"))
 
 
