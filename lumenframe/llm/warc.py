@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import prepared, released, shared_folder, small_or_shuffled, written
+from .cluster import LEAST_HOT, join_by_counts, prepared, released, shared_folder, written
 
 #: The header fields of each version.
 ARC_FIELDS = {
@@ -42,18 +42,22 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 LEAST_BYTES = 100
 BATCH_BYTES = 4 << 20
 BROADCAST_DIGESTS = 100_000
+#: Records of an archive at most, so that one stays far below what a binary value can hold.
+ARCHIVE_RECORDS = 10_000
 
 
-def _first_in_file(head: Column, record: Column) -> Column:
-    """The record, after head where it is the first of its partition and so of its file."""
-    return F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.concat(head, record)).otherwise(record)
+def _write_archives(rows: DataFrame, head: bytes, record: Column, end: str, path: str, records: int) -> None:
+    """Archives of so many records, each after head: the writer begins a file after that many, whatever the session says."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    value = F.when(place % records == 0, F.concat(F.lit(head), record)).otherwise(record)
+    rows.select(value.cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def _utf8(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary")
 
 
-def write_arc(pages: DataFrame, path: str, version: int) -> None:
+def write_arc(pages: DataFrame, path: str, version: int, records: int = ARCHIVE_RECORDS) -> None:
     """Writes pages (page_id, url, html) as ARC files of the version; the id travels in an HTTP header."""
     fields = ARC_FIELDS[version]
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
@@ -65,8 +69,7 @@ def write_arc(pages: DataFrame, path: str, version: int) -> None:
     line = _utf8(url, " 0.0.0.0 ", date, " text/html", middle, " ", F.octet_length(F.concat(http, payload)).cast("string"), "\n")
     about = f"{version} 0 lumenframe\n{' '.join(fields)}\n"
     head = f"filedesc://pages.arc 0.0.0.0 20200101000000 text/plain{middle} {len(about)}\n{about}\n"
-    record = _first_in_file(F.lit(head.encode()), F.concat(line, http, payload))
-    pages.select(record.cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write_archives(pages, head.encode(), F.concat(line, http, payload), "\n", path, records)
 
 
 def arc_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -161,13 +164,14 @@ def read_arc(spark, *paths: str, with_payload: bool = True) -> DataFrame:
     return _files(spark, *paths).mapInArrow(released(_convert(with_payload)), _CONVERTED)
 
 
-def arc_to_warc(spark, arc_paths: list[str], path: str, least_bytes: int = LEAST_BYTES) -> None:
+def arc_to_warc(spark, arc_paths: list[str], path: str, least_bytes: int = LEAST_BYTES, records: int = ARCHIVE_RECORDS, most: int = BROADCAST_DIGESTS, least_hot: int = LEAST_HOT) -> None:
     """Converts ARC files to WARC files."""
     rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id", "url", "date")
     light = read_arc(spark, *arc_paths, with_payload=False).where(F.col("n_bytes") >= least_bytes)
-    twice = light.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
-    firsts = small_or_shuffled(written(twice, "payloads"), BROADCAST_DIGESTS)
-    rows = read_arc(spark, *arc_paths).join(firsts, "digest", "left")
+    firsts = written(light.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1"), "payloads")
+    rows = read_arc(spark, *arc_paths)
+    # beyond a bounded number of digests, one that a third of all pages may share is still broadcast
+    rows = rows.join(F.broadcast(firsts.drop("n")), "digest", "left") if firsts.limit(most + 1).count() <= most else join_by_counts(rows, firsts, ["digest"], "left", least_hot)
     revisit = F.col("first").isNotNull() & (F.col("n_bytes") >= least_bytes) & (F.col("first.record_id") != F.col("record_id"))
     block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
     page = F.when(F.col("page_id").isNull(), "").otherwise(F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string"), F.lit("\r\n")))
@@ -179,8 +183,7 @@ def arc_to_warc(spark, arc_paths: list[str], path: str, least_bytes: int = LEAST
     )
     about = b"software: lumenframe\r\nformat: WARC File Format 1.1\r\n"
     info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, 'warcinfo')}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n".encode()
-    record = _first_in_file(F.lit(info + about + b"\r\n\r\n"), F.concat(head, block))
-    rows.select(record.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    _write_archives(rows, info + about + b"\r\n\r\n", F.concat(head, block), "\r\n\r\n", path, records)
 
 
 def warc_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:

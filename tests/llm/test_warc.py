@@ -43,6 +43,24 @@ def test_corners(spark, tmp_path, version):
     assert read_warc(spark, f"{tmp_path}/warc0").count() == 0
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_many_archives(spark, tmp_path, most):
+    """Archives of two records, each with its block, in a session that asks for others; shared payloads by broadcast and by shuffle."""
+    rows = [(i, f"http://h/{i}", ("hot" if i % 3 == 0 else f"page {i // 2}") * 60) for i in range(31)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        write_arc(pages, f"{tmp_path}/arc", 1, records=2)
+        arc_to_warc(spark, [f"{tmp_path}/arc"], f"{tmp_path}/warc", records=2, most=most, least_hot=4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(list((tmp_path / "warc").glob("part-*"))) >= 16
+    found = read_warc(spark, f"{tmp_path}/warc").collect()
+    assert all(r.sound for r in found)
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in found) == sorted(x[:4] for x in brute(rows))
+    assert {r.page_id: r.refers_to for r in found} == {x[0]: x[4] for x in brute(rows)}
+
+
 def test_header_lines():
     one = b"filedesc://f 0 20010203040506 text/plain 9\n1 0 me\nx\n\nhttp://a b 1.2.3.4 20010203040506 text/html 5\nhello\n"
     head, block = next(arc_records(io.BytesIO(one)))
