@@ -1,13 +1,16 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm.
 
-Pieces are dealt by a hash to shards of a bounded number of pieces. A shard that best fit packs
-into no more bins than its lengths ask for at least is done, as no packing is better. Every other
-shard is evolved on several islands at once, each a task of its own: the first starts from best
-fit, the others from best fit of their own random orders. After an epoch every island receives
-its neighbour's elite (its best packing) and goes on, and the shard keeps the best.
+Pieces are dealt by a hash to shards of a bounded number of pieces. Fewer bins are better, and of
+as many bins those filled most unevenly, as their room then lies in few bins and the next level can
+use it. A shard whose best fit leaves room in one bin only is done, as no packing is better. Every
+other shard is evolved on several islands at once, each a task of its own: the first starts from
+best fit, the others from best fit of their own random orders. After an epoch every island receives
+its neighbour's elite (its best packing) and goes on, and the shard keeps the best. Islands breed
+longer while bins can be saved (GENERATIONS) than for the room's sake alone (ROOM_GENERATIONS).
 A packing is a partition of the pieces into bins. Crossover injects well-filled bins of one
 parent whole into the other, drops the bins that hold a piece twice, and puts the displaced
-pieces back by best fit. `packing_report` tells each shard's bins before and after evolution.
+pieces back by best fit. `packing_report` tells each shard's bins and room
+before and after evolution, and its crossovers.
 
 The least filled bins of each shard, a bounded number of pieces, are then packed again together
 with those of other shards, level by level, so unfilled room doesn't add up with the shards.
@@ -36,7 +39,7 @@ from .tokens import tokenizer
 
 CAPACITY = 4096
 SHARD_PIECES = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 40, 4
+ISLANDS, EPOCHS, GENERATIONS, ROOM_GENERATIONS, POPULATION = 2, 2, 40, 6, 4
 #: Of each shard, pieces of its least filled bins that are packed again with those of so many other shards.
 LEFT_PIECES, MERGED = 64, 64
 #: Chunks whose ids a worker keeps.
@@ -115,27 +118,39 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
     return best_fit(sizes, sorted(loose, key=lambda i: -sizes[i]), capacity, injected + rest[: len(rest) - opened])
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
-    """The best packing that the island finds, from the elites and best fit of noisy orders."""
-    least = -(-sum(sizes) // capacity)
+def _ideal(sizes: list[int], capacity: int) -> tuple[int, float]:
+    """The fitness that no packing can pass: full bins, and the rest in one."""
+    full, rest = divmod(sum(sizes), capacity)
+    return full + (rest > 0), -(full + (rest / capacity) ** 2)
+
+
+def bred(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION, room_generations: int = ROOM_GENERATIONS) -> tuple[list[list[int]], int]:
+    """The best packing that the island finds, from the elites and best fit of noisy orders, and its number of crossovers."""
+    least, best = _ideal(sizes, capacity)
     rng = np.random.default_rng(seed)
-    people = list(elites)
-    while len(people) < population and not (people and len(people[0]) <= least):
+    score = lambda x: _fitness(x[1], sizes, capacity)
+    # the first number keeps equal packings apart
+    people = sorted(enumerate(elites), key=score)
+    ideal = lambda: people and score(people[0]) <= (least, best + 1e-9)
+    while len(people) < population and not ideal():
         noise = np.array(sizes) * rng.uniform(0.8, 1.2, len(sizes))
-        people.append(best_fit(sizes, np.argsort(-noise, kind="stable").tolist(), capacity))
-    score = lambda x: _fitness(x, sizes, capacity)
-    people.sort(key=score)
-    for _ in range(generations):
-        if len(people[0]) <= least:
-            break
-        a, b = rng.choice(len(people), 2, replace=False)
-        people.append(crossover(people[min(a, b)], people[max(a, b)], sizes, capacity, rng))
+        people.append((len(people), best_fit(sizes, np.argsort(-noise, kind="stable").tolist(), capacity)))
+        people.sort(key=score)
+    crossed = 0
+    while crossed < generations and not ideal() and (len(people[0][1]) > least or crossed < room_generations):
+        a, b = sorted(rng.choice(len(people), 2, replace=False).tolist())
+        crossed += 1
+        people.append((population + crossed, crossover(people[a][1], people[b][1], sizes, capacity, rng)))
         people = sorted(people, key=score)[:population]
-    return people[0]
+    return people[0][1], crossed
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
+    return bred(sizes, capacity, seed, elites, generations, population)[0]
 
 
 def _first(capacity: int):
-    """A shard by best fit decreasing, and the bins that its lengths ask for at least."""
+    """A shard by best fit decreasing, the bins that its lengths ask for at least, and whether no packing is better."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["row", "piece"], kind="stable").reset_index(drop=True)
@@ -144,7 +159,9 @@ def _first(capacity: int):
         where = np.zeros(len(rows), np.int64)
         for k, x in enumerate(bins):
             where[x] = k
-        return rows.assign(bin=where, n_bins=len(bins), least=-(-sum(sizes) // capacity))
+        least, most = _ideal(sizes, capacity)
+        n, uneven = _fitness(bins, sizes, capacity)
+        return rows.assign(bin=where, n_bins=n, least=least, done=n <= least and uneven <= most + 1e-9)
 
     return run
 
@@ -162,45 +179,49 @@ def _island(capacity: int, epoch: int):
                 # every elite lists the same pieces, in the same order
                 elites.append([list(x) for x in part.reset_index(drop=True).groupby("bin", sort=True).indices.values()])
         seed = (int(own["shard"].iloc[0]) * 1009 + int(own["island"].iloc[0])) * 31 + epoch
-        bins = evolve(sizes, capacity, seed, elites)
+        bins, crossed = bred(sizes, capacity, seed, elites)
         where = np.zeros(len(own), np.int64)
         for k, x in enumerate(bins):
             where[x] = k
-        return own.assign(bin=where, n_bins=len(bins))
+        n, uneven = _fitness(bins, sizes, capacity)
+        return own.assign(bin=where, n_bins=n, uneven=uneven, crossed=int(rows["crossed"].max()) + crossed)
 
     return run
 
 
-_ISLAND = "shard long, island int, row long, piece int, length long, bin long, n_bins long"
+_FIRST = "shard long, row long, piece int, length long, bin long, n_bins long, least long, done boolean"
+_ISLAND = "shard long, island int, row long, piece int, length long, bin long, n_bins long, uneven double, crossed long"
 
 
 def _evolved(pieces: DataFrame, capacity: int) -> DataFrame:
-    """shard, row, piece, length, bin: the best packing of each shard of (shard, row, piece, length)."""
-    first = written(pieces.groupBy("shard").applyInPandas(_first(capacity), "shard long, row long, piece int, length long, bin long, n_bins long, least long"), "best-fit")
-    left = first.where("n_bins > least")
-    done = first.where("n_bins <= least").select("shard", "row", "piece", "length", "bin")
+    """shard, row, piece, length, bin, crossed: the best packing of each shard of (shard, row, piece, length), and the most crossovers on a line to it."""
+    names = ["shard", "row", "piece", "length", "bin", "crossed"]
+    first = written(pieces.groupBy("shard").applyInPandas(_first(capacity), _FIRST).withColumn("crossed", F.lit(0).cast("long")), "best-fit")
+    left, done = first.where("not done"), first.where("done").select(names)
     if not left.limit(1).count():
         return done
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
-    state = left.select("shard", islands, "row", "piece", "length", F.lit(0).alias("origin"), "bin")
+    state = left.select("shard", islands, "row", "piece", "length", F.lit(0).alias("origin"), "bin", "crossed")
     for epoch in range(EPOCHS):
         state = written(state.groupBy("shard", "island").applyInPandas(_island(capacity, epoch), _ISLAND), "islands")
         if epoch + 1 < EPOCHS:
-            stay = state.select("shard", "island", "row", "piece", "length", F.lit(0).alias("origin"), "bin")
-            move = state.select("shard", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), "row", "piece", "length", F.lit(1).alias("origin"), "bin")
+            stay = state.select("shard", "island", "row", "piece", "length", F.lit(0).alias("origin"), "bin", "crossed")
+            move = state.select("shard", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), "row", "piece", "length", F.lit(1).alias("origin"), "bin", "crossed")
             state = stay.unionByName(move)
-    best = state.groupBy("shard").agg(F.min(F.struct("n_bins", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
+    best = state.groupBy("shard").agg(F.min(F.struct("n_bins", "uneven", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
     # one row for each shard that evolved
-    return done.unionByName(state.join(best, ["shard", "island"]).select("shard", "row", "piece", "length", "bin"))
+    return done.unionByName(state.join(best, ["shard", "island"]).select(names))
 
 
 def packing_report(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """shard, least (bins that its lengths ask for), best_fit and evolved (bins) of the first level of pieces (row, piece, length)."""
+    """For each shard of the first level of pieces (row, piece, length): least (bins that its lengths ask for), best_fit and evolved (bins),
+    open_before and open_after (bins with room), crossed (crossovers on a line to its packing)."""
     shards = max(1, -(-pieces.count() // shard_pieces))
     dealt = written(pieces.select(F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"), "row", "piece", "length"), "dealt")
-    first = dealt.groupBy("shard").applyInPandas(_first(capacity), "shard long, row long, piece int, length long, bin long, n_bins long, least long")
-    before = first.groupBy("shard").agg(F.max("least").alias("least"), F.max("n_bins").alias("best_fit"))
-    after = _evolved(dealt, capacity).groupBy("shard").agg(F.countDistinct("bin").alias("evolved"))
+    first = dealt.groupBy("shard").applyInPandas(_first(capacity), _FIRST)
+    bins = lambda df, *more: df.groupBy("shard", "bin").agg(F.sum("length").alias("fill"), *more)
+    before = bins(first, F.max("least").alias("least")).groupBy("shard").agg(F.max("least").alias("least"), F.count("*").alias("best_fit"), F.count_if(F.col("fill") < capacity).alias("open_before"))
+    after = bins(_evolved(dealt, capacity), F.max("crossed").alias("crossed")).groupBy("shard").agg(F.count("*").alias("evolved"), F.count_if(F.col("fill") < capacity).alias("open_after"), F.max("crossed").alias("crossed"))
     return before.join(after, "shard")
 
 
@@ -221,7 +242,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     shards = max(1, -(-n // shard_pieces))
     level, todo, done = 0, pieces.select(F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"), "row", "piece", "length"), []
     while True:
-        packed = _evolved(todo, capacity)
+        packed = _evolved(todo, capacity).drop("crossed")
         last = shards == 1
         if last:
             split = written(packed.withColumn("left", F.lit(False)), "packed")

@@ -89,3 +89,12 @@ def test_report(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "row long, piece int, length long")).count() == 0
+
+
+def test_room_is_evolved(spark):
+    """A shard that needs no fewer bins is still bred while room lies in several of them."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(rng.integers(150, 420, 240))], "row long, piece int, length long").repartition(2)
+    report = packing_report(df, 1000, 120).collect()
+    assert all(r.evolved <= r.best_fit and r.crossed > 0 for r in report if r.open_before > 1)
+    assert any(r.open_after < r.open_before or r.evolved < r.best_fit for r in report)
