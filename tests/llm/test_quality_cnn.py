@@ -1,5 +1,6 @@
 """Held-out accuracy, gradients, whole-text coverage and odd inputs."""
 
+import math
 import zlib
 
 import numpy as np
@@ -40,6 +41,39 @@ def test_every_byte_counts(spark, model):
     assert all(got[i] > 0.5 for i in range(len(texts))) and all(got[len(texts) + i] < 0.5 for i in range(3))
 
 
+def forward(net, text):
+    """The network window by window, in double precision."""
+    raw = (text or "").encode()
+    n_windows = max(1, (len(raw) + q.STEP - 1) // q.STEP)
+    held = raw + bytes(q.WIDTH + q.STEP)
+    answers = []
+    for w in range(n_windows):
+        vector = [float(x) for b in held[w * q.STEP : w * q.STEP + q.WIDTH] for x in net.bytes_[b]]
+        answers.append([sum(v * float(net.filters[i, f]) for i, v in enumerate(vector)) for f in range(q.FILTERS)])
+    chunks, first = [], 0
+    while True:
+        part = answers[first : first + q.CHUNK]
+        chunks.append([max(0.0, max(a[f] for a in part) + float(net.bias[f])) for f in range(q.FILTERS)])
+        if first + q.CHUNK >= n_windows:
+            break
+        first += q.HOP
+    mean = [sum(c[f] for c in chunks) / len(chunks) for f in range(q.FILTERS)]
+    most = [max(c[f] for c in chunks) for f in range(q.FILTERS)]
+    logit = float(net.intercept) + sum(float(w) * x for w, x in zip(net.out, mean + most, strict=True))
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_forward_by_hand(spark):
+    """Scores of whole texts, around every chunk's bounds, against the naive pass."""
+    rng = np.random.default_rng(5)
+    net = q.Network(rng.normal(0, 0.5, (256, q.DEPTH)).astype(np.float32), rng.normal(0, 0.2, (q.WIDTH * q.DEPTH, q.FILTERS)).astype(np.float32), rng.normal(0, 0.1, q.FILTERS).astype(np.float32), rng.normal(0, 0.05, 2 * q.FILTERS).astype(np.float32), 0.1)
+    sizes = (1, 2, 7, 8, 9, 511, 512, 513, 959, 960, 961, 1500)
+    texts = [None, "", "é" * 300, *["".join(rng.choice(list("abcdefgh \n"), n)) for n in sizes]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in q.score(df, net).collect()}
+    assert all(abs(got[i] - forward(net, t)) < 1e-4 for i, t in enumerate(texts))
+
+
 def test_training_learns_and_is_repeatable():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abcde "), 60 + 10 * (i % 9))) + (" $$ " if i % 2 else "") for i in range(200)]
