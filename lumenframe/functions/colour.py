@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -138,8 +139,9 @@ def curve_at(points: Sequence[Sequence[float]], at: np.ndarray) -> np.ndarray:
     return y[i] * (1 + 2 * t) * (1 - t) ** 2 + h * m[i] * t * (1 - t) ** 2 + y[i + 1] * t * t * (3 - 2 * t) + h * m[i + 1] * t * t * (t - 1)
 
 
-def region_table(sliders: dict[str, float], size: int = TABLE) -> np.ndarray:
-    """Shift of luma by the four regional sliders; luma plus shift never falls."""
+@cache
+def _region_weights(size: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Even places over 0..1, and how far each belongs to each region."""
     y = np.linspace(0, 1, size)
 
     def step(lo, hi):
@@ -147,7 +149,12 @@ def region_table(sliders: dict[str, float], size: int = TABLE) -> np.ndarray:
         return t * t * (3 - 2 * t)
 
     dark, bright = step(0, BLACKS_END), step(WHITES_FROM, 1)
-    masks = {"blacks": 1 - dark, "shadows": dark * (1 - step(BLACKS_END, SHADOWS_END)), "highlights": step(HIGHLIGHTS_FROM, WHITES_FROM) * (1 - bright), "whites": bright}
+    return y, {"blacks": 1 - dark, "shadows": dark * (1 - step(BLACKS_END, SHADOWS_END)), "highlights": step(HIGHLIGHTS_FROM, WHITES_FROM) * (1 - bright), "whites": bright}
+
+
+def region_table(sliders: dict[str, float], size: int = TABLE) -> np.ndarray:
+    """Shift of luma by the four regional sliders; luma plus shift never falls."""
+    y, masks = _region_weights(size)
     shift = REGION * sum(masks[k] * v / 100 for k, v in sliders.items())
     return np.maximum.accumulate(y + shift) - y
 

@@ -2,11 +2,12 @@
 
 Ten sliders and, if wanted, three points of the tone curve are searched for by damped
 least-squares steps within their bounds, on perceptual differences (CIEDE2000) of every pixel.
-Pixels are packed once into pieces of one image of at most PIECE pixels, so an image of any size
-is many rows. In each round every piece meets the trial of each start of its image, works out
-residuals and their numerical derivatives, and gives sums: J'J, J'r, the squared and the plain
-residuals. Sums over pieces are decimals, so their order doesn't matter; a 13 by 13 system for
-each image and start gives the next trial.
+Pixels are dealt by image into pieces of at most PIECE pixels. An image that is one piece, and whole
+in a task, is searched there at once. The others, images of any size, are many rows: in each round
+every piece meets the trial of each start of its image, works out residuals and their numerical
+derivatives, and gives sums: J'J, J'r, the squared and the plain residuals. Sums over pieces are
+decimals, so their order doesn't matter; a 13 by 13 system for each image and start gives the next
+trial. Both ways take the same steps.
 
 Defined results: an image with a missing or NaN channel is one row with a message and no recipe;
 a null image is an image; repeated pixels count each time; an empty table gives an empty one;
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from lumenframe.functions import colour_arrays as arrays
 
 from .kept import kept
+from .pieces import dealt, runs
 
-PIECE = 4096
 #: The offsets of the ten sliders where searches begin, and those of a second pass over bad fits.
 STARTS, MORE_STARTS = (0.05, -0.05), (0.05, -0.05, 0.15, -0.15, 0.3, -0.3)
 DIFF_STEP = 3e-3
@@ -35,7 +36,6 @@ DIFF_STEP = 3e-3
 BROADCAST_TRIALS = 100_000
 #: A step or a relative gain below these ends a search, as does a damping beyond MOST_DAMPING.
 LEAST_STEP, LEAST_GAIN, MOST_DAMPING = 1e-4, 1e-5, 1e7
-_CHANNELS = ("r", "g", "b", "r2", "g2", "b2")
 
 
 def bounds(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,69 +47,59 @@ def start_vector(offset: float, curve: bool) -> list[float]:
     return [offset] * len(arrays.SLIDERS) + (list(arrays.STRAIGHT) if curve else [])
 
 
-def pieces_of(pixels: DataFrame) -> DataFrame:
-    """image, x (r, g, b of each pixel, end to end) and target (their CIELAB values in the other rendition)."""
-    kind = pixels.schema["image"].dataType.simpleString()
-    rows = pixels.select("image", *[F.col(c).cast("double").alias(c) for c in _CHANNELS])
-    order = ["image", *_CHANNELS]
+_RAW = "image {}, x array<double>, target array<double>, n long, missing long, vector array<double>, error double, done boolean"
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        name, n = None, 0
 
-        def out():
-            values = np.concatenate(held)
-            flat = lambda v: pa.array([v.reshape(-1)], pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([name, flat(values[:, :3]), flat(arrays.lab(values[:, 3:]))], ["image", "x", "target"])
+def _dealt(starts: Sequence[float], curve: bool, rounds: int):
+    """Of an image that is whole in its task the fit; of others the pieces: x (r, g, b of each pixel, end to end) and target (their CIELAB values in the other rendition)."""
+    names = ["image", "x", "target", "n", "missing", "vector", "error", "done"]
+    doubles = pa.list_(pa.float64())
+    kinds = (doubles, doubles, pa.int64(), pa.int64(), doubles, pa.float64(), pa.bool_())
 
-        for batch in batches:
-            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _CHANNELS], 1) if batch.num_rows else np.zeros((0, 6))
-            names = batch.column("image")
-            at = 0
-            while at < len(values):
-                here = names.slice(at, 1)
-                if held and (here != name or n == PIECE):
-                    yield out()
-                    held.clear()
-                    n = 0
-                name = here
-                # rows are sorted by image, so its run ends where the name changes
-                room = names.slice(at, PIECE - n)
-                same = room.is_null() if here.null_count else pa.compute.fill_null(pa.compute.equal(room, here[0]), False)
-                run = int(np.append(np.flatnonzero(~same.to_numpy(zero_copy_only=False)), len(room))[0])
-                held.append(values[at : at + run])
-                n, at = n + run, at + run
-        if held:
-            yield out()
-
-    # ranges split an image of many pixels over tasks
-    packed = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, f"image {kind}, x array<double>, target array<double>")
-    return kept(packed, "pieces")
+    def row(values: np.ndarray, whole: bool) -> tuple:
+        missing = np.isnan(values).any(1)
+        pixels, target = values[~missing, :3], arrays.lab(values[~missing, 3:])
+        lost = int(missing.sum())
+        if not whole:
+            return pixels.reshape(-1), target.reshape(-1), len(values), lost, None, None, False
+        vector, error = (None, None) if lost else _searched(arrays.Pixels(pixels, target), starts, curve, rounds)
+        return None, None, len(values), lost, vector, error, True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, values, whole in runs(batches):
+            columns = [pa.array([v], kind) for v, kind in zip(row(values, whole), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([name, *columns], names)
+
+    return run
 
 
 def _sums_schema(width: int) -> list[str]:
     return [f"s{i}" for i in range(width * (width + 1) // 2 + width + 3)]
 
 
+def _moves(at: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.where(at + DIFF_STEP <= high, DIFF_STEP, -DIFF_STEP)
+
+
+def _parts(pixels: arrays.Pixels, at: np.ndarray, residual: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper half of J'J, and J'r."""
+    moves = _moves(at, high)
+    slopes = (pixels.differences(at, moves) - residual) / moves[:, None]
+    return (slopes @ slopes.T)[np.triu_indices(len(at))], slopes @ residual
+
+
 def _measured(width: int):
     """For pieces beside trials: the upper half of J'J, then J'r, the squared residuals, the residuals and the number of pixels."""
-    low, high = bounds(width)
-    upper = np.triu_indices(width)
+    _, high = bounds(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x, target, trial in zip(batch.column("x"), batch.column("target"), batch.column("trial"), strict=True):
-                pixels, want = (v.values.to_numpy(zero_copy_only=False).reshape(-1, 3) for v in (x, target))
-                at = trial.values.to_numpy(zero_copy_only=False).copy()
-                residual = arrays.ciede2000(arrays.lab(arrays.render(pixels, at)), want)
-                slopes = np.empty((width, len(pixels)))
-                for i in range(width):
-                    there = at.copy()
-                    step = DIFF_STEP if at[i] + DIFF_STEP <= high[i] else -DIFF_STEP
-                    there[i] += step
-                    slopes[i] = (arrays.ciede2000(arrays.lab(arrays.render(pixels, there)), want) - residual) / step
-                out.append(np.concatenate(((slopes @ slopes.T)[upper], slopes @ residual, [residual @ residual, residual.sum(), len(pixels)])))
+                pixels = arrays.Pixels(*(v.values.to_numpy(zero_copy_only=False).reshape(-1, 3) for v in (x, target)))
+                at = trial.values.to_numpy(zero_copy_only=False)
+                residual = pixels.differences(at)[0]
+                out.append(np.concatenate((*_parts(pixels, at, residual, high), [residual @ residual, residual.sum(), len(residual)])))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("start"), *map(pa.array, np.array(out).T)], ["image", "start", *_sums_schema(width)])
 
@@ -127,29 +117,67 @@ def _step(x: np.ndarray, slope: np.ndarray, matrix: np.ndarray, damp: float, low
     return np.clip(x + move, low, high)
 
 
+class Search:
+    """A search from one start: where it stands, its sums there, and the trial ahead."""
+
+    def __init__(self, x, trial, h, d, loss: float, total: float, damp: float):
+        self.x, self.trial, self.h, self.d = (np.asarray(v, float) for v in (x, trial, h, d))
+        self.loss, self.total, self.damp, self.active = loss, total, damp, True
+
+    def taken(self, squares: float, total: float, parts) -> None:
+        """Takes the trial if it is better, with parts() for its J'J and J'r, and finds the next one."""
+        low, high = bounds(len(self.x))
+        better, first = squares < self.loss, np.isinf(self.loss)
+        done = not first and np.abs(self.trial - self.x).max() < LEAST_STEP
+        if better:
+            done |= not first and self.loss - squares < LEAST_GAIN * self.loss
+            self.h, self.d = parts()
+            self.x, self.loss, self.total = self.trial, squares, total
+        self.damp = self.damp if first else self.damp / 3 if better else self.damp * 4
+        matrix = np.zeros((len(self.x), len(self.x)))
+        matrix[np.triu_indices(len(self.x))] = self.h
+        matrix = matrix + np.triu(matrix, 1).T
+        self.trial = _step(self.x, self.d, matrix, self.damp, low, high)
+        self.active = not (done or self.damp > MOST_DAMPING or self.loss == 0)
+
+
+def _searched(pixels: arrays.Pixels, starts: Sequence[float], curve: bool, rounds: int) -> tuple[np.ndarray, float]:
+    """The vector and mean difference of the best start, with all pixels at hand. Derivatives are needed only where a trial is taken, and not in the last round."""
+    found = []
+    for start in starts:
+        begin = start_vector(start, curve)
+        _, high = bounds(len(begin))
+        half = len(begin) * (len(begin) + 1) // 2
+        search = Search(begin, begin, np.zeros(half), np.zeros(len(begin)), float("inf"), 0.0, 1e-2)
+        for left in range(rounds - 1, -1, -1):
+            at, residual = search.trial, pixels.differences(search.trial)[0]
+            # rounded like the decimals of the rounds
+            squares, total = np.round([residual @ residual, residual.sum()], 9)
+            if not left:
+                if squares < search.loss:
+                    search.x, search.loss, search.total = at, squares, total
+                break
+            search.taken(squares, total, lambda: [np.round(p, 9) for p in _parts(pixels, at, residual, high)])  # noqa: B023
+            if not search.active:
+                break
+        found.append((search.loss, search.x, search.total / len(residual)))
+    return min(found, key=lambda f: f[0])[1:]
+
+
 def _next(width: int, names: list[str]):
     """Takes each trial if it is better and finds the next one."""
-    low, high = bounds(width)
-    upper, half = np.triu_indices(width), width * (width + 1) // 2
+    half = width * (width + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             sums = np.stack([batch.column(s).to_numpy(zero_copy_only=False).astype(float) for s in _sums_schema(width)], 1) if batch.num_rows else []
             for row, s in zip(batch.select(["x", "trial", "h", "d", "loss", "total", "damp"]).to_pylist(), sums, strict=True):
-                x, trial, h, d = (np.array(row[c], float) for c in ("x", "trial", "h", "d"))
-                loss, total, damp = row["loss"], row["total"], row["damp"]
-                better, first = s[-3] < loss, np.isinf(loss)
-                done = not first and np.abs(trial - x).max() < LEAST_STEP
-                if better:
-                    done |= not first and loss - s[-3] < LEAST_GAIN * loss
-                    x, h, d, loss, total = trial, s[:half], s[half : half + width], s[-3], s[-2]
-                damp = damp if first else damp / 3 if better else damp * 4
-                matrix = np.zeros((width, width))
-                matrix[upper] = h
-                matrix = matrix + np.triu(matrix, 1).T
-                ahead = _step(x, d, matrix, damp, low, high)
-                rows.append((x.tolist(), ahead.tolist(), np.asarray(h).tolist(), np.asarray(d).tolist(), loss, total, damp, s[-1], not (done or damp > MOST_DAMPING or loss == 0)))
+                # nothing is summed before the first trial
+                row["h"], row["d"] = row["h"] or [0.0] * half, row["d"] or [0.0] * width
+                search = Search(**row)
+                search.taken(s[-3], s[-2], lambda: (s[:half], s[half : half + width]))  # noqa: B023
+                rows.append((*(v.tolist() for v in (search.x, search.trial, search.h, search.d)), search.loss, search.total, search.damp, s[-1], search.active))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("start"), *map(pa.array, zip(*rows, strict=True))], names)
 
@@ -159,10 +187,11 @@ def _next(width: int, names: list[str]):
 def fit(pixels: DataFrame, starts: Sequence[float] = STARTS, curve: bool = True, rounds: int = 30) -> DataFrame:
     """image, vector, error (the mean difference over every pixel), pixels, message: the best of all starts."""
     width = len(start_vector(0, curve))
-    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in _CHANNELS])
-    counts = kept(pixels.groupBy("image").agg(F.count("*").alias("n"), F.count_if(missing).alias("missing")), "fit-images")
-    pieces = pieces_of(pixels.where(~missing))
     kind = pixels.schema["image"].dataType.simpleString()
+    raw = kept(dealt(pixels).mapInArrow(_dealt(starts, curve, rounds), _RAW.format(kind)), "dealt")
+    pieces = raw.where("not done").select("image", "x", "target")
+    # of the images that no task had as a whole: far fewer than pieces or tasks
+    counts = kept(raw.where("not done").groupBy("image").agg(F.sum("n").alias("n"), F.sum("missing").alias("missing")), "fit-images")
     vector = lambda v: F.array(*[F.lit(float(x)) for x in v])
     begin = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), vector(start_vector(s, curve)).alias("x")) for i, s in enumerate(starts)]))
     first = counts.where("missing = 0").select("image", begin.alias("s")).select("image", "s.start", "s.x", F.col("s.x").alias("trial"))
@@ -187,8 +216,9 @@ def fit(pixels: DataFrame, starts: Sequence[float] = STARTS, curve: bool = True,
     found = reduce(DataFrame.unionAll, ended, state.where("active"))
     best = found.groupBy("image").agg(F.min_by(F.struct("x", "total", "n"), F.struct("loss", "start")).alias("b"))
     fits = best.select("image", F.col("b.x").alias("vector"), (F.col("b.total") / F.col("b.n")).alias("error"), F.col("b.n").cast("long").alias("pixels"), F.lit(None).cast("string").alias("message"))
-    bad = counts.where("missing > 0").select("image", F.lit(None).cast("array<double>"), F.lit(None).cast("double"), "n", F.concat("missing", F.lit(" pixels lack a channel")))
-    return kept(fits.unionAll(bad), "fits")
+    lacks = F.when(F.col("missing") > 0, F.concat("missing", F.lit(" pixels lack a channel")))
+    bad = counts.where("missing > 0").select("image", F.lit(None).cast("array<double>"), F.lit(None).cast("double"), "n", lacks)
+    return kept(raw.where("done").select("image", "vector", "error", F.col("n").alias("pixels"), lacks.alias("message")).unionAll(fits).unionAll(bad), "fits")
 
 
 def recipe_of(vector: Column) -> Column:
@@ -213,7 +243,7 @@ def at_bounds(vector: Column, tolerance: float = 0.02) -> Column:
 def refit_worst(pixels: DataFrame, fits: DataFrame, chosen: DataFrame, starts: Sequence[float] = MORE_STARTS, curve: bool = True, rounds: int = 30) -> DataFrame:
     """fits with better ones, and `replaced`: the chosen images (a column, image) are searched again from more starts, and a new fit stands only where its error is smaller."""
     some = pixels.join(chosen.select(F.col("image").alias("_image")), F.col("image").eqNullSafe(F.col("_image")), "left_semi")
-    again = fit(some, starts, curve, rounds).select(F.col("image").alias("_image"), F.struct("vector", "error").alias("new"))
+    again = fit(kept(some, "chosen-pixels"), starts, curve, rounds).select(F.col("image").alias("_image"), F.struct("vector", "error").alias("new"))
     both = fits.join(again, F.col("image").eqNullSafe(F.col("_image")), "left")
     better = F.coalesce(F.col("new.error") < F.col("error"), F.lit(False))
     pick = lambda c: F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import colour, colour_arrays
 from lumenframe.functions.recipes import valid
-from lumenframe.operators import recipe_fit
+from lumenframe.operators import pieces, recipe_fit
 
 RNG = np.random.default_rng(5)
 SCHEMA = "image long, r double, g double, b double, r2 double, g2 double, b2 double"
@@ -74,3 +74,47 @@ def test_second_pass(spark, fits):
     got = {r.image: r for r in recipe_fit.refit_worst(df, poor, spark.createDataFrame([(1,), (3,)], "image long"), starts=(0.05,), curve=False, rounds=12).collect()}
     assert got[1].replaced and got[1].error < 1 and got[3].searched and not got[3].replaced and got[3].error == 0
     assert recipe_fit.fit(df.limit(0)).count() == 0
+
+
+def _tasks_of(monkeypatch, rows):
+    monkeypatch.setattr(pieces, "TASK_ROWS", rows)
+
+
+def test_whole_images_take_no_rounds(spark, monkeypatch):
+    """Images inside a task are searched there, with what the rounds over pieces find; only those at its ends take rounds."""
+    vectors = {i: [0.02 * i, -0.01 * i, 0.03 * i, 0.1, 0, 0, 0, 0, 0.1, 0] for i in range(7)}
+    data = [r for i, v in vectors.items() for r in rows(i, RNG.random((60, 3)), v)]
+    df = spark.createDataFrame([*data, (8, 0.1, 0.2, None, 0.1, 0.2, 0.3), (9, *[0.5] * 6)], SCHEMA).repartition(3)
+    joined = []
+    beside = recipe_fit._measured
+    monkeypatch.setattr(recipe_fit, "_measured", lambda width: joined.append(width) or beside(width))
+    one = {r.image: r for r in recipe_fit.fit(df, rounds=5).collect()}
+    assert len(joined) == 5 and one[8].message == "1 pixels lack a channel" and len(one) == 9
+    # at so few rows an image, or a task, none is whole
+    monkeypatch.setattr(pieces, "PIECE", 20)
+    many = {r.image: r for r in recipe_fit.fit(df, rounds=5).collect()}
+    for i, r in one.items():
+        assert (r.pixels, r.message) == (many[i].pixels, many[i].message)
+        if r.vector:
+            np.testing.assert_allclose(r.vector, many[i].vector, atol=1e-5)
+
+
+def test_work_is_dealt_over_tasks(spark, monkeypatch):
+    """The number of tasks goes by rows: small rows that take long aren't gathered in one."""
+    df = spark.createDataFrame(rows(1, RNG.random((400, 3)), [0] * 10), SCHEMA)
+    assert pieces.dealt(df).rdd.getNumPartitions() == 1
+    _tasks_of(monkeypatch, 100)
+    assert pieces.dealt(df).rdd.getNumPartitions() == 4
+
+
+def test_moved_renditions_say_the_same(spark):
+    """Renditions with each number moved in turn, from shared steps, are those that each vector has on its own."""
+    pixels = np.concatenate((RNG.random((200, 3)), [[0, 0, 0], [1, 1, 1], [0.5, 0.5, 0.5]]))
+    target = colour_arrays.lab(RNG.random((203, 3)))
+    of = lambda v: colour_arrays.ciede2000(colour_arrays.lab(colour_arrays.render(pixels, v)), target)
+    for width in (10, 13):
+        at = np.concatenate((RNG.uniform(-0.6, 0.6, 10), RNG.random(3)))[:width]
+        moves = np.where(np.arange(width) % 2, 3e-3, -3e-3)
+        ready = colour_arrays.Pixels(pixels, target)
+        np.testing.assert_allclose(ready.differences(at)[0], of(at), atol=1e-8)
+        np.testing.assert_allclose(ready.differences(at, moves), [of(at + d) for d in np.diag(moves)], atol=1e-8)
