@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import recipes
 from lumenframe.functions.statistics import sign_test, student_quantile
+from lumenframe.operators import fitting, pieces
 from lumenframe.operators.fitting import fit_edits
 from lumenframe.operators.upsert import improved, upserted
 from lumenframe.plans.relational import numbered
@@ -102,6 +103,31 @@ def test_fit_reads_every_pixel(spark):
     assert fit_edits(df.limit(0)).count() == 0
 
 
+def test_small_images_move_once(spark, monkeypatch):
+    """Images inside a task are fitted there, with what rounds over pieces find; only those at its ends take rounds."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for image in range(6):
+        for _ in range(50):
+            p = rng.random(3) * 0.5
+            x = p * 2 ** (0.1 * image)
+            rows.append((image, *map(float, p), *map(float, x + 0.02 * image * (x * x * (3 - 2 * x) - x) + rng.random(3) * 0.01)))
+    rows += [(7, 0.1, 0.2, None, 0.1, 0.2, 0.3), (8, *[0.5] * 6)]
+    df = spark.createDataFrame(rows, "image long, r double, g double, b double, r2 double, g2 double, b2 double").repartition(3)
+    trials = []
+    beside = fitting._beside
+    monkeypatch.setattr(fitting, "_beside", lambda p, t: trials.append(t.select("image").distinct().count()) or beside(p, t))
+    one = {r.image: r for r in fit_edits(df).collect()}
+    # the first and the last image of the one task
+    assert max(trials) == 2 and len(one) == 8 and one[7].message == "1 pixels lack a channel"
+    monkeypatch.setattr(pieces, "PIECE", 20)
+    many = {r.image: r for r in fit_edits(df).collect()}
+    for i, r in one.items():
+        assert r.message == many[i].message
+        if r.message is None:
+            assert (r.exposure, r.contrast, r.error) == pytest.approx((many[i].exposure, many[i].contrast, many[i].error), abs=1e-5)
+
+
 def stream(spark, tmp_path, build, mode, name):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     parts = tmp_path / f"in-{name}"
