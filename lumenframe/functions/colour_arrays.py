@@ -145,7 +145,8 @@ class Pixels:
         if moves is not None:
             order = [0, 1, 2, 4, 5, 6, 7, 3, *range(10, len(vector)), 8, 9]
             x = x[:, 1 + np.argsort(order)]
-        t = (np.array(RGB_TO_XYZ) / np.array(WHITE)[:, None]) @ decode(x).reshape(3, -1)
+        # divided last, as in lab(): white is exactly without hue
+        t = np.array(RGB_TO_XYZ) @ decode(x).reshape(3, -1) / np.array(WHITE)[:, None]
         fx, fy, fz = np.where(t > LAB_DELTA**3, np.cbrt(t), t / (3 * LAB_DELTA**2) + 4 / 29).reshape(x.shape)
         return _away(116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz), *self.target)
 
