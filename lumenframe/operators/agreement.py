@@ -16,23 +16,32 @@ from lumenframe.functions.vectors import euclidean
 SCALES = ("human", "reachable", "fingerprint")
 
 
-def _pairs(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, a, b, x, y of every two experts of a group; groups are the few experts of one pixel or photo, met by one shuffle instead of a join."""
-    met = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("expert", F.col(value).alias("v")))).alias("e"))
+def _met(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and e, the few experts of a group with their values, met by one shuffle instead of a join."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("expert", F.col(value).alias("v")))).alias("e"))
+
+
+def _pairs(met: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b, x, y of every two experts of e."""
     two = F.flatten(F.transform("e", lambda one: F.transform(F.filter("e", lambda two: two["expert"] > one["expert"]), lambda two: F.struct(one.alias("one"), two.alias("two")))))
     return met.select(*keys, F.explode(two).alias("p")).select(*keys, F.col("p.one.expert").alias("a"), F.col("p.two.expert").alias("b"), F.col("p.one.v").alias("x"), F.col("p.two.v").alias("y"))
 
 
 def colour_pairs(renditions: DataFrame) -> DataFrame:
     """photo, a, b, away: the mean CIEDE2000 difference of two experts' renditions; renditions: photo, expert, place, lab (a struct of L, a and b)."""
-    both = _pairs(renditions, ["photo", "place"], "lab")
+    return met_colour_pairs(_met(renditions, ["photo", "place"], "lab"))
+
+
+def met_colour_pairs(pixels: DataFrame) -> DataFrame:
+    """colour_pairs of rows that hold a pixel's experts already: photo and e, an array of structs of expert and v, its lab. Nothing but means is shuffled."""
+    both = _pairs(pixels, ["photo"])
     wide = both.select("photo", "a", "b", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("L", "a", "b")])
     return with_ciede2000(wide, "x", "y", "de").groupBy("photo", "a", "b").agg(F.avg("de").alias("away"))
 
 
 def fingerprint_pairs(edits: DataFrame) -> DataFrame:
     """photo, a, b, away: the distance of two experts' fingerprints; edits: photo, expert, fingerprint, one of each expert."""
-    return _pairs(edits, ["photo"], "fingerprint").select("photo", "a", "b", euclidean(F.col("x"), F.col("y")).alias("away"))
+    return _pairs(_met(edits, ["photo"], "fingerprint"), ["photo"]).select("photo", "a", "b", euclidean(F.col("x"), F.col("y")).alias("away"))
 
 
 def scales(photos: DataFrame, human: DataFrame, reachable: DataFrame, fingerprints: DataFrame) -> DataFrame:

@@ -216,3 +216,31 @@ def test_band_of_no_rows(spark):
     assert bands.rendered_bands(given.where("false"), {}).count() == 0
     with pytest.raises(ValueError, match="at least one row"):
         bands.rendered_bands(given, {}, 0)
+
+
+def test_experts_of_a_row_need_no_shuffle(spark, sf_dir):
+    """Rows that hold a pixel's experts give what gathered ones give; only means are shuffled, and pixels aren't numbered."""
+    data = [(p, i, e, {"L": 40.0 + p + e * i % 7, "a": 3.0 * e - i % 5, "b": i % 9 - 2.0 * e}) for p in (1, 2) for i in range(20) for e in (1, 2, 3)]
+    rows = spark.createDataFrame(data, "photo int, place int, expert int, lab struct<L: double, a: double, b: double>")
+    met = rows.groupBy("photo", "place").agg(F.array_sort(F.collect_list(F.struct("expert", F.col("lab").alias("v")))).alias("e"))
+    of = lambda df: sorted((r.photo, r.a, r.b, round(r.away, 9)) for r in df.collect())
+    assert of(agreement.met_colour_pairs(met)) == of(agreement.colour_pairs(rows)) and len(of(agreement.met_colour_pairs(met))) == 6
+    written = spark.createDataFrame([(1, [(1, {"L": 1.0, "a": 0.0, "b": 0.0})])], "photo int, e array<struct<expert: int, v: struct<L: double, a: double, b: double>>>")
+    assert agreement.met_colour_pairs(written)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rulers_are_dealt_by_rows(spark, monkeypatch):
+    """A task's share doesn't grow with the rows, whatever the session's number of shuffle partitions; four rulers read them once."""
+    monkeypatch.setattr(rulers, "TASK_ROWS", 100)
+    rows = spark.range(950).select(F.col("id").alias("k"), F.array(F.lit(1.0), F.lit(2.0)).alias("fingerprint"))
+    met = rulers.with_tables(rows, {}, "k")
+    assert met.rdd.getNumPartitions() == 10 and met.count() == 950
+
+
+def test_numbered_shuffles_once(spark):
+    from lumenframe.operators.ranking import numbered
+
+    df = numbered(spark.range(1000).withColumn("k", F.pmod(F.col("id") * 7919, F.lit(1000))).select("k").repartition(5), "k")
+    # the rows' own places come from the table; the only exchange left is that of counts
+    assert "Window [row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k, r.i) for r in df.collect()) == [(i, i) for i in range(1000)]
