@@ -40,9 +40,10 @@ def random_pairs(df: DataFrame, rows: int, pairs: int = PAIRS, seed: str = "pair
 
 
 def paired(pairs: DataFrame, places: DataFrame, values: list[str]) -> DataFrame:
-    """pair, and of every value {value}_left and {value}_right: both sides are looked up by one join, so the many rows are read and moved once."""
+    """pair, and of every value {value}_left and {value}_right: both sides are looked up by one join, so the many rows are read once and not moved."""
     ends = pairs.select("pair", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("i")) for s in ("left", "right")])).alias("x")).select("pair", "x.*")
-    found = places.select("i", *values).join(ends, "i")
+    # as many rows as pairs were asked for, twice: places stay where they are
+    found = places.select("i", *values).join(F.broadcast(ends), "i")
     return found.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col(v))).alias(f"{v}_{s}") for v in values for s in ("left", "right")])
 
 
@@ -71,7 +72,8 @@ def restated(stored: DataFrame, committed: DataFrame, build: Column, vector: str
 
 def moved_distances(rows: DataFrame, key: str, pairs: int = PAIRS, seed: str = "pairs") -> DataFrame:
     """pair, before, after, change (percent; null at distance 0) of random pairs of rows (key, vector, rebuilt), by their places in the order of key."""
-    places = kept(numbered(rows.select(key, "vector", "rebuilt"), key), "places")
+    # numbered() has written the rows: they needn't be written again
+    places = numbered(rows.select(key, "vector", "rebuilt"), key)
     both = paired(random_pairs(rows, places.count(), pairs, seed), places, ["vector", "rebuilt"])
     away = both.select("pair", euclidean(F.col("vector_left"), F.col("vector_right")).alias("before"), euclidean(F.col("rebuilt_left"), F.col("rebuilt_right")).alias("after"))
     return away.withColumn("change", F.abs(F.col("after") - F.col("before")) / F.nullif("before", F.lit(0.0)) * 100)

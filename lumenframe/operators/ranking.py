@@ -13,9 +13,10 @@ BROADCAST_GROUPS = 10_000
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """rows with i, their 0-based place by key: ranges, places inside each, and the counts before it."""
-    # written first: a range exchange that is evaluated twice may cut its ranges elsewhere
-    parts = kept(rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranges")
-    inside = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
+    # written once, with each row's place in its sorted range (the low 33 bits), so that rows are shuffled once
+    sorted_ = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    parts = kept(sorted_, "ranges").withColumn("_p", F.shiftright("_m", 33))
+    inside = parts.withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"))
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_lo")) - F.col("_n")).alias("_b"))
     # one row for each range
