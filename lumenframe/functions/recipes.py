@@ -23,6 +23,11 @@ def parsed(json: Column) -> Column:
     return F.from_json(json, SCHEMA)
 
 
+def _with_parsed(json: Column, of) -> Column:
+    """of(recipe), with the recipe bound as a lambda's argument, so that a text is parsed once and not for each field."""
+    return F.get(F.transform(F.array(parsed(json)), of), F.lit(0))
+
+
 def slider(recipe: Column, group: str, key: str) -> Column:
     """A missing group or slider is neutral."""
     return F.coalesce(recipe[group][key], F.lit(0.0))
@@ -34,11 +39,15 @@ def sliders(recipe: Column) -> list[tuple[str, Column]]:
 
 def valid(json: Column) -> Column:
     """The whole contract: version 1 and present, no unknown key, sliders in range, a curve from 0 to 1 that strictly rises in x."""
-    recipe = parsed(json)
     known = F.coalesce(F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, ("schema", *GROUPS))))) == 0, F.lit(False))
     for group, keys in GROUPS.items():
         inner = F.json_object_keys(F.get_json_object(json, f"$.{group}"))
         known = known & F.coalesce(F.size(F.array_except(inner, F.array(*map(F.lit, keys)))) == 0, F.lit(True))
+    return known & _with_parsed(json, _in_range)
+
+
+def _in_range(recipe: Column) -> Column:
+    """Version 1, sliders in range, and the curve."""
     in_range = F.lit(True)
     for name, value in sliders(recipe):
         in_range = in_range & (F.abs(value) <= LIMITS.get(name, 100.0))
@@ -46,16 +55,19 @@ def valid(json: Column) -> Column:
     xs = F.transform(points, lambda p: F.get(p, F.lit(0)))
     gaps = F.zip_with(F.slice(xs, 2, F.size(xs)), F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), lambda b, a: b - a)
     curve = (F.size(points) >= 2) & (F.element_at(xs, 1) == 0) & (F.element_at(xs, -1) == 1) & F.forall(gaps, lambda g: g >= LEAST_GAP)
-    return known & F.coalesce(recipe["schema"] == 1, F.lit(False)) & in_range & F.when(points.isNull(), True).otherwise(F.coalesce(curve, F.lit(False)))
+    return F.coalesce(recipe["schema"] == 1, F.lit(False)) & in_range & F.when(points.isNull(), True).otherwise(F.coalesce(curve, F.lit(False)))
 
 
 def canonical(json: Column) -> Column:
     """Every key written, in the order of the schema."""
-    recipe = parsed(json)
+    return F.to_json(_with_parsed(json, _every_key))
+
+
+def _every_key(recipe: Column) -> Column:
     group = lambda g: F.struct(*[slider(recipe, g, k).alias(k) for k in GROUPS[g]]).alias(g)
     straight = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)))
     curve = F.struct(F.coalesce(recipe["tone_curve"]["points"], straight).alias("points")).alias("tone_curve")
-    return F.to_json(F.struct(recipe["schema"].alias("schema"), group("white_balance"), group("tone"), group("color"), curve))
+    return F.struct(recipe["schema"].alias("schema"), group("white_balance"), group("tone"), group("color"), curve)
 
 
 def neutral(json: Column) -> Column:
@@ -69,10 +81,9 @@ def neutral(json: Column) -> Column:
 
 def components(json: Column) -> Column:
     """Thirteen numbers: the ten sliders over their limits, and how far the curve, held in 0..1, lies off the diagonal at CURVE_AT. Null where points don't rise."""
-    recipe = parsed(json)
-    ten = F.array(*[v / LIMITS.get(k, 100.0) for k, v in sliders(recipe)])
-    points = recipe["tone_curve"]["points"]
-    return F.concat(ten, F.when(points.isNull(), F.array(*[F.lit(0.0)] * len(CURVE_AT))).otherwise(_off_diagonal(points)))
+    both = _with_parsed(json, lambda recipe: F.struct(F.array(*[v / LIMITS.get(k, 100.0) for k, v in sliders(recipe)]).alias("ten"), recipe["tone_curve"]["points"].alias("points")))
+    points = both["points"]
+    return F.concat(both["ten"], F.when(points.isNull(), F.array(*[F.lit(0.0)] * len(CURVE_AT))).otherwise(_off_diagonal(points)))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

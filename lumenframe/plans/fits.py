@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import colour_arrays
 from lumenframe.functions.recipes import components
 from lumenframe.operators import recipe_fit
+from lumenframe.operators.distinct import by_distinct
 from lumenframe.operators.kept import kept
 from lumenframe.plans.registry import query
 from lumenframe.operators.ranking import numbered
@@ -52,7 +53,8 @@ def o2_vectors_as_recipes(spark, d):
     """Vectors of sliders and curve fractions become recipes; sliders and curve points are read back from these."""
     n = len(colour_arrays.SLIDERS) + len(colour_arrays.CURVE_X)
     v = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.col("p_partkey") * (i + 3) % 241 - 120) / F.lit(100.0))
-    recipes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), recipe_fit.recipe_of(v).alias("recipe"))
+    vectors = table(spark, d, "part").select(F.col("p_partkey").alias("id"), v.alias("v"))
     points = F.from_json(F.get_json_object("recipe", "$.tone_curve.points"), "array<array<double>>")
     back = F.transform(F.slice(components(F.col("recipe")), 1, len(colour_arrays.SLIDERS)), lambda x: F.round(x, 6) + 0)
-    return recipes.select("id", back.alias("sliders"), F.transform(F.slice(points, 2, len(colour_arrays.CURVE_X)), lambda p: F.round(p[1], 6)).alias("points"))
+    read = {"sliders": back, "points": F.transform(F.slice(points, 2, len(colour_arrays.CURVE_X)), lambda p: F.round(p[1], 6))}
+    return by_distinct(by_distinct(vectors, "v", {"recipe": recipe_fit.recipe_of(F.col("v"))}), "recipe", read).select("id", *read)

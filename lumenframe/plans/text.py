@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe.functions import recipes, text
+from lumenframe.operators.distinct import by_distinct
 from lumenframe.plans.registry import query
 from lumenframe.plans.tables import table
 
@@ -130,13 +131,14 @@ def _recipes(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, q, q % 10 <> 0 AND q % 12 <= 5 AND q * 3 <= 100 AND q % 7 NOT IN (0, 2) AS valid FROM (SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INTEGER) AS q FROM lineitem)")
 def js8_recipe_valid(spark, d):
-    return _recipes(spark, d).select("l_orderkey", "l_linenumber", "q", recipes.valid(F.col("recipe")).alias("valid"))
+    return by_distinct(_recipes(spark, d), "recipe", {"valid": recipes.valid(F.col("recipe"))}).select("l_orderkey", "l_linenumber", "q", "valid")
 
 
 @query("""SELECT DISTINCT q, '{"schema":' || CASE WHEN q % 10 = 0 THEN 2 ELSE 1 END || ',"white_balance":{"temperature":0.0,"tint":0.0},"tone":{"exposure":' || (q % 12) || '.0,"contrast":' || (q * 3) || '.0,"highlights":0.0,"shadows":0.0,"whites":0.0,"blacks":0.0},"color":{"saturation":0.0,"vibrance":0.0},"tone_curve":{"points":[[0.0,0.0],' || CASE q % 7 WHEN 1 THEN '[0.5,0.4],[1.0,1.0]' WHEN 2 THEN '[0.5,0.4],[0.5,1.0]' ELSE '[1.0,1.0]' END || ']}}' AS canonical
 FROM (SELECT CAST(trunc(l_quantity) AS INTEGER) AS q FROM lineitem)""")
 def js7_canonical_recipe(spark, d):
-    return _recipes(spark, d).select("q", recipes.canonical(F.col("recipe")).alias("canonical")).distinct()
+    # equal texts meet before they are parsed
+    return _recipes(spark, d).select("q", "recipe").distinct().select("q", recipes.canonical(F.col("recipe")).alias("canonical")).distinct()
 
 
 #: The curve through (0.5, 0.4) has secants 0.8 and 1.2 and tangents 0.8, 1 and 1.2.
@@ -146,7 +148,7 @@ _CURVE_OFF = ("0.5 * 0.8 * 0.125 + 0.4 * 0.5 - 0.5 * 1.0 * 0.125 - 0.25", "0.4 -
 @query(f"SELECT DISTINCT q, round((q % 12) / 5.0 + q * 3 / 100.0 + CASE q % 7 WHEN 1 THEN {' + '.join(_CURVE_OFF)} WHEN 2 THEN NULL ELSE 0 END, 6) AS total FROM (SELECT CAST(trunc(l_quantity) AS INTEGER) AS q FROM lineitem)")
 def v6_recipe_components(spark, d):
     total = F.aggregate(recipes.components(F.col("recipe")), F.lit(0.0), lambda s, x: s + x)
-    return _recipes(spark, d).select("q", F.round(total, 6).alias("total")).distinct()
+    return _recipes(spark, d).select("q", "recipe").distinct().select("q", F.round(total, 6).alias("total")).distinct()
 
 
 @query("SELECT l_orderkey, l_linenumber, printf('%+.2f', l_discount) AS signed, left(l_linestatus || l_returnflag, 1) AS cut FROM lineitem")

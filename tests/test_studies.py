@@ -244,3 +244,26 @@ def test_numbered_shuffles_once(spark):
     # the rows' own places come from the table; the only exchange left is that of counts
     assert "Window [row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.k, r.i) for r in df.collect()) == [(i, i) for i in range(1000)]
+
+
+@pytest.mark.parametrize("most", [3, 2])
+def test_few_values_are_worked_out_once(spark, monkeypatch, most):
+    """One row for each distinct value is parsed where they are few; results are the same where they aren't."""
+    from lumenframe.operators import distinct
+
+    monkeypatch.setattr(distinct, "MOST_VALUES", most)
+    stored = []
+    kept = distinct.kept
+    monkeypatch.setattr(distinct, "kept", lambda df, what: stored.append(df.count()) or kept(df, what))
+    df = spark.createDataFrame([(i, "ab" if i % 3 == 0 else "cde" if i % 3 == 1 else None) for i in range(30)], "k int, t string")
+    got = {r.k: (r.t, r.n) for r in distinct.by_distinct(df, "t", {"n": F.coalesce(F.length("t"), F.lit(-1))}).collect()}
+    assert stored == [3] * (most == 3) and len(got) == 30 and (got[0], got[1], got[2]) == (("ab", 2), ("cde", 3), (None, -1))
+
+
+def test_a_recipe_is_parsed_once(spark):
+    """Not once for each field that is read (components reads its points apart)."""
+    df = spark.createDataFrame([('{"schema":1,"tone":{"exposure":2}}',), ("{",), (None,)], "j string")
+    for of in (recipes.valid, recipes.components, recipes.canonical):
+        plan = df.select(of(F.col("j")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("from_json(") <= 3
+    assert [r.x for r in df.select(recipes.valid(F.col("j")).alias("x")).collect()][:2] == [True, False]
