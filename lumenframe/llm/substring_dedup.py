@@ -19,7 +19,10 @@ of bounded size tell the second reading which stretches may be shared; only thos
 Of an anchor that holds too many rows for a block, whole stretches are known duplicates at once
 where they all read the same; otherwise its windows become blocks of their own and are counted:
 each differing stretch once, with the number of its copies as weight, so that copies meet before
-their windows do, and the repeated windows come back to each copy as runs, one row for a stretch.
+their windows do. A stretch with copies is a duplicate as a whole, so its copies need only be
+told: those of the most frequent stretches, of a bounded number, where they lie, and those that
+follow each other in a document leave as one span; the rest by a join. A stretch without copies
+is cut into runs of repeated windows.
 
 Windows are told by 64-bit hashes, within their anchor's 64.
 
@@ -40,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import hot_limit, join_by_counts, packed, prepared, released, semi_by_counts, shared_folder, unpacked, written
+from .cluster import hot_limit, packed, prepared, released, semi_by_counts, shared_folder, unpacked, written
 from .textbatch import NOT_SPACE, Grams, list_array, mix, slices, span_hashes, texts_of, words
 
 WINDOW, ANCHOR = 35, 12
@@ -339,18 +342,66 @@ def _one(column: pa.ChunkedArray, kind) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], kind)
 
 
+class Pairs:
+    """A set of pairs of numbers, told exactly: each pair by the places of its numbers among all."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = np.unique(a), np.unique(b)
+        self.codes = np.sort(self._codes(a, b))
+
+    def _codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.a, a) * (len(self.b) + 1) + np.searchsorted(self.b, b)
+
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(len(a), bool)
+        found = np.isin(a, self.a) & np.isin(b, self.b)
+        found[found] = np.isin(self._codes(a[found], b[found]), self.codes)
+        return found
+
+
+def _again(pairs):
+    """Of stretches that are found in pairs: spans, one for those that follow each other in a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(pairs.value.holds(batch.column("key").to_numpy(), batch.column("content").to_numpy()))
+            if not len(some):
+                continue
+            who, copy, first, count = (batch.column(c).to_numpy()[some] for c in ("who", "copy", "first", "count"))
+            order = np.lexsort((first, copy, who))
+            who, copy, first, end = who[order], copy[order], first[order], (first + count)[order]
+            new = np.concatenate(([True], (who[1:] != who[:-1]) | (copy[1:] != copy[:-1]) | (first[1:] != end[:-1])))
+            start = np.flatnonzero(new)
+            last = np.concatenate((start[1:], [len(new)])) - 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some[order[start]])), pa.array(copy[start]), pa.array(first[start], pa.int32()), pa.array(end[last] - first[start], pa.int32())], ["doc_id", "copy", "first", "count"])
+
+    return run
+
+
 def _wide(placed: DataFrame, least: int) -> DataFrame:
     """doc_id, copy, first, count: runs of repeated windows in stretches of anchors that are too wide for a block."""
-    read = written(placed.groupBy("key", "content").agg(F.count("*").alias("n"), F.any_value("windows").alias("windows")), "read")
-    each = read.select("key", "content", F.col("n").alias("copies"), F.posexplode("windows").alias("i", "w"))
-    again = written(each.groupBy("key", "w").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 1").select("key", "w", "n"), "again")
-    places = semi_by_counts(each, again, ["key", "w"], least).groupBy("key", "content", F.col("copies").alias("n")).agg(F.collect_list("i").alias("x"))
+    spark, keys = placed.sparkSession, ["key", "content"]
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    read = written(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.any_value("windows").alias("windows"), F.any_value(F.struct("doc_id", "copy", "first")).alias("place")), "read")
+    # a stretch with copies is a duplicate as a whole; those with the most copies, fewer than HOT_KEYS, are looked up where they lie
+    most = hot_limit(read.agg(F.sum("n")).first()[0], 1)
+    hot, few = read.where(F.col("n") > most).select(*keys), read.where(F.col("n").between(2, most)).select(*keys)
+    names = hot.toArrow()
+    pairs = spark.sparkContext.broadcast(Pairs(*(names.column(c).to_numpy() for c in keys)))
+    stretches = placed.select("doc_id", "copy", *keys, "first", "count")
+    found = stretches.withColumn("who", F.xxhash64("doc_id")).mapInArrow(released(_again(pairs)), _SPANS.format(id=kind))
+    if few.limit(1).count():
+        found = found.unionByName(stretches.join(F.broadcast(hot), keys, "left_anti").join(few, keys, "left_semi").drop(*keys))
+    # of one without, its windows tell; it has one place
+    each = read.select("key", "n", "place", F.posexplode("windows").alias("i", "w"))
+    again = written(each.groupBy("key", "w").agg(F.count_if(F.col("n") == 1).alias("n"), F.sum("n").alias("copies")).where("n > 0 and copies > 1").select("key", "w", "n"), "again")
+    places = semi_by_counts(each.where("n = 1").drop("n"), again, ["key", "w"], least).groupBy("place").agg(F.collect_list("i").alias("x"))
     # a stretch has no more windows than lie around one anchor, so x is short
     first = F.array_sort(F.filter("x", lambda i: ~F.array_contains("x", i - 1)))
     last = F.array_sort(F.filter("x", lambda i: ~F.array_contains("x", i + 1)))
-    runs = written(places.select("key", "content", "n", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b - a + 1).alias("count"))).alias("runs")), "runs")
-    rows = join_by_counts(placed.select("doc_id", "copy", "key", "content", "first"), runs, ["key", "content"], least=least)
-    return rows.select("doc_id", "copy", "first", F.explode("runs").alias("r")).select("doc_id", "copy", (F.col("first") + F.col("r.a")).alias("first"), F.col("r.count").alias("count"))
+    runs = places.select("place.*", F.explode(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b - a + 1).alias("count")))).alias("r"))
+    return found.unionByName(runs.select("doc_id", "copy", (F.col("first") + F.col("r.a")).alias("first"), F.col("r.count").alias("count")))
 
 
 def factors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wide: int = WIDE) -> DataFrame:

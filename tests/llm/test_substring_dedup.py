@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lumenframe.llm import cluster
 from lumenframe.llm import substring_dedup as sd
 
 
@@ -95,3 +97,44 @@ def test_bloom(spark):
     held = sd.bloom_of(df, len(keys))
     assert held.holds(keys.view(np.uint64)).all()
     assert held.holds((keys + 12345).view(np.uint64)).mean() < 0.1
+
+
+# hot: how many stretches may be looked up, the rest are joined
+@pytest.mark.parametrize("hot", [200_000, 60, 1])
+def test_copies_under_wide_anchors(spark, hot, monkeypatch):
+    """A passage that comes many times, in copies, near copies and behind itself, under anchors too wide for blocks."""
+    monkeypatch.setattr(cluster, "HOT_KEYS", hot)
+    rng = random.Random(9)
+    base = [f"p{i}" for i in range(30)]
+    texts = [" ".join(base * (1 + i % 5)) for i in range(30)]
+    for _ in range(40):
+        near = base * 3
+        for _ in range(2):
+            near[rng.randrange(len(near))] = f"u{rng.randrange(10**6)}"
+        texts += [" ".join(near)] * rng.choice([1, 1, 1, 2, 5])
+    rows = [(None if i % 11 == 0 else str(i // 2), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = sorted((r["doc_id"] or "", r["_n_words"], r["_n_removed"], r["_text"]) for r in sd.dedup_substrings(df, 9, 4, 5).collect())
+    assert got == sorted((i or "", *x) for (i, _), x in zip(rows, brute([t for _, t in rows], 9), strict=True))
+
+
+def test_wide_rows(spark, monkeypatch):
+    """Copies of stretches that follow each other come back as one span of each document, not as a row for each stretch."""
+    # of 900 stretches, 300 of a kind; those without copies share a window with them or not
+    rows = [(d, 7, k, 10 + k, 12 * k, 12, [100 * k + i for i in range(12)]) for d in range(300) for k in (1, 2, 3)]
+    rows += [(900, 8, 1, 50, 5, 3, [105, 106, 999]), (901, 8, 1, 51, 5, 2, [997, 998]), (902, 8, 2, 11, 0, 2, [201, 996])]
+    placed = spark.createDataFrame(rows, "doc_id long, copy long, key long, content long, first int, count int, windows array<long>").repartition(1, F.lit(0))
+    want = [(d, 7, 12, 36) for d in range(300)] + [(900, 8, 5, 2), (902, 8, 0, 1)]
+    assert sorted(map(tuple, sd._wide(placed, 3).collect())) == want
+    # none looked up, all joined: the same windows, a row for each stretch
+    monkeypatch.setattr(cluster, "HOT_KEYS", 1)
+    assert sorted(map(tuple, sd._wide(placed, 3).collect())) == sorted([(d, 7, 12 * k, 12) for d in range(300) for k in (1, 2, 3)] + want[300:])
+
+
+def test_pairs():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-5, 5, 30), rng.integers(-5, 5, 30)
+    held = set(zip(a.tolist(), b.tolist(), strict=True))
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(-7, 7), np.arange(-7, 7)))
+    assert sd.Pairs(a, b).holds(x, y).tolist() == [p in held for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert not sd.Pairs(a[:0], b[:0]).holds(x, y).any()
