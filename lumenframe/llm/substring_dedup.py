@@ -43,6 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import cluster
 from .cluster import hot_limit, packed, prepared, released, semi_by_counts, shared_folder, unpacked, written
 from .textbatch import NOT_SPACE, Grams, list_array, mix, slices, span_hashes, texts_of, words
 
@@ -384,14 +385,15 @@ def _wide(placed: DataFrame, least: int) -> DataFrame:
     spark, keys = placed.sparkSession, ["key", "content"]
     kind = placed.schema["doc_id"].dataType.simpleString()
     read = written(placed.groupBy(*keys).agg(F.count("*").alias("n"), F.any_value("windows").alias("windows"), F.any_value(F.struct("doc_id", "copy", "first")).alias("place")), "read")
-    # a stretch with copies is a duplicate as a whole; those with the most copies, fewer than HOT_KEYS, are looked up where they lie
-    most = hot_limit(read.agg(F.sum("n")).first()[0], 1)
+    # a stretch with copies is a duplicate as a whole; at most HOT_KEYS are looked up where they lie: all, or those with the most copies
+    total, repeated = read.agg(F.sum("n"), F.count_if(F.col("n") > 1)).first()
+    most = 1 if repeated <= cluster.HOT_KEYS else hot_limit(total, 1)
     hot, few = read.where(F.col("n") > most).select(*keys), read.where(F.col("n").between(2, most)).select(*keys)
     names = hot.toArrow()
     pairs = spark.sparkContext.broadcast(Pairs(*(names.column(c).to_numpy() for c in keys)))
     stretches = placed.select("doc_id", "copy", *keys, "first", "count")
     found = stretches.withColumn("who", F.xxhash64("doc_id")).mapInArrow(released(_again(pairs)), _SPANS.format(id=kind))
-    if few.limit(1).count():
+    if most > 1:
         found = found.unionByName(stretches.join(F.broadcast(hot), keys, "left_anti").join(few, keys, "left_semi").drop(*keys))
     # of one without, its windows tell; it has one place
     each = read.select("key", "n", "place", F.posexplode("windows").alias("i", "w"))

@@ -100,7 +100,7 @@ def test_bloom(spark):
 
 
 # hot: how many stretches may be looked up, the rest are joined
-@pytest.mark.parametrize("hot", [200_000, 60, 1])
+@pytest.mark.parametrize("hot", [200_000, 20, 1])
 def test_copies_under_wide_anchors(spark, hot, monkeypatch):
     """A passage that comes many times, in copies, near copies and behind itself, under anchors too wide for blocks."""
     monkeypatch.setattr(cluster, "HOT_KEYS", hot)
