@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lumenframe.llm.collocations import collocations, op11_phrase_collocations
@@ -53,6 +54,57 @@ def test_all(spark, least, top, chars, cells):
     assert collocations(df.limit(0)).count() == 0
 
 
+def test_scans(spark):
+    """Documents are read as often with many automata as with one."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    scans = []
+    for chars in (10**6, 300):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(texts(), 4).map(counted), "text string, lang string")
+        before = read.value
+        got = sorted(map(tuple, collocations(df, least=5, top=50, block_chars=chars, cells=1).collect()))
+        assert got == sorted(brute(texts(), 5, 50))
+        scans.append((read.value - before) / len(texts()))
+    assert scans[0] == scans[1] <= 5
+
+
+def test_chunks(monkeypatch):
+    """Stretches, words and texts that meet only across slices, chunks and languages; texts that end and begin without a blank."""
+    from lumenframe.llm import collocations as module
+
+    monkeypatch.setattr(module, "SLICE_BYTES", 7)
+    docs = [("a b", "en"), ("c a b c", "en"), ("a b c", "de"), ("b c. a", None), ("b", "de"), ("a  b\tc a", "en")] * 6
+    for size, chars in ((1, 10**6), (3000, 10**6), (10**6, 10**6), (10**6, 500), (10**6, 5000)):
+        monkeypatch.setattr(module, "CHUNK_BYTES", size)
+        chunk, found = module._Chunk(lambda part, upto: ((k, np.flatnonzero(part.room >= k), None) for k in range(1, upto + 1)), chars), Counter()
+        for text, lang in docs:
+            data = np.frombuffer(text.encode(), np.uint8)
+            twice = np.concatenate((data, data))
+            chunk.add(module._Slice(twice, np.array([0, len(data), len(twice)]), [lang or "und"] * 2))
+            if chunk.full():
+                found += chunk_counts(chunk)
+                chunk = module._Chunk(chunk.passing, chars)
+        found += chunk_counts(chunk)
+        want = Counter()
+        for text, lang in docs:
+            for piece in text.split("."):
+                w = piece.split()
+                want.update(2 * [(lang or "und", " ".join(w[i : i + k])) for k in range(1, 6) for i in range(len(w) - k + 1)])
+        assert found == want
+
+
+def chunk_counts(chunk):
+    out = Counter()
+    for batch in chunk.counts():
+        for row in batch.to_pylist():
+            out[row["lang"], row["phrase"]] += row["f"]
+    return out
+
+
 def test_large_products(spark):
     """Scores are exact beyond 64 bits."""
     from lumenframe.llm.collocations import _score
